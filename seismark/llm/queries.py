@@ -7,11 +7,26 @@ from pyspark.sql import functions as F
 
 from seismark.llm.canonical import holds_name
 from seismark.llm.placenames import map_label_places
+from seismark.llm.residue import page_verdicts, residue_pages
 from seismark.llm.survivors import Field, surviving_records, survivors
 from seismark.operators.instants import normalise_instants
 from seismark.sources import read_table
 
 
+def _article_verdicts(spark: SparkSession, folder: str) -> DataFrame:
+    return page_verdicts(read_table(spark, folder, "articles", "index_id", "domain", "content"), "index_id", "domain", "content")
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return residue_pages(_article_verdicts(spark, folder)).select(F.col("page").alias("index_id"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    verdicts = _article_verdicts(spark, folder)
+    whole = verdicts.join(residue_pages(verdicts), "page", "left_anti")
+    return whole.select(F.col("page").alias("index_id"), F.explode("furniture_lines").cast("int").alias("line_no"))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     labels = read_table(spark, folder, "labels", "label_id", "loc", "city", "country").distinct()
     mapped = map_label_places(labels, read_table(spark, folder, "places"), read_table(spark, folder, "countries"))
@@ -45,5 +60,5 @@ def p4_voted(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_records(winners, "index_id", "label_id", ["impact", "dt", "city", "country"])
 
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
 ORACLES: dict[str, str] = {}
