@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seismark.llm.canonical import holds_name
+from seismark.llm.neardup import duplicate_groups, expanded_pairs, near_duplicates
 from seismark.llm.placenames import map_label_places
 from seismark.llm.residue import page_verdicts, residue_pages
 from seismark.llm.survivors import Field, surviving_records, survivors
@@ -27,6 +28,21 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return whole.select(F.col("page").alias("index_id"), F.explode("furniture_lines").cast("int").alias("line_no"))
 
 
+def _similar_articles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    articles = read_table(spark, folder, "articles", "index_id", "title", "content").where(F.trim(F.translate("content", "\t\r\n\u00a0", "    ")) != "")
+    usable = articles.join(p1_found(spark, folder), "index_id", "left_anti")
+    return near_duplicates(usable, "index_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("content")), words=3, threshold=0.6)
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    pairs = expanded_pairs(*_similar_articles(spark, folder))
+    return pairs.select(F.col("a").alias("index_id_a"), F.col("b").alias("index_id_b"))
+
+
+def p6_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return duplicate_groups(*_similar_articles(spark, folder))
+
+
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     labels = read_table(spark, folder, "labels", "label_id", "loc", "city", "country").distinct()
     mapped = map_label_places(labels, read_table(spark, folder, "places"), read_table(spark, folder, "countries"))
@@ -60,5 +76,5 @@ def p4_voted(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_records(winners, "index_id", "label_id", ["impact", "dt", "city", "country"])
 
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
+QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_groups": p6_groups, "p3_found": p3_found, "p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
 ORACLES: dict[str, str] = {}
