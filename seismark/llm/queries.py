@@ -9,6 +9,7 @@ from seismark.llm.canonical import holds_name
 from seismark.llm.neardup import duplicate_groups, expanded_pairs, near_duplicates
 from seismark.llm.placenames import map_label_places
 from seismark.llm.residue import page_verdicts, residue_pages
+from seismark.llm.subjects import document_subjects, fit_subjects
 from seismark.llm.survivors import Field, surviving_records, survivors
 from seismark.operators.instants import normalise_instants
 from seismark.sources import read_table
@@ -25,7 +26,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     verdicts = _article_verdicts(spark, folder)
     whole = verdicts.join(residue_pages(verdicts), "page", "left_anti")
-    return whole.select(F.col("page").alias("index_id"), F.explode("furniture_lines").cast("int").alias("line_no"))
+    return whole.select(F.col("page").alias("index_id"), F.explode("furniture_lines").alias("line_no"))
 
 
 def _similar_articles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -76,5 +77,11 @@ def p4_voted(spark: SparkSession, folder: str) -> DataFrame:
     return surviving_records(winners, "index_id", "label_id", ["impact", "dt", "city", "country"])
 
 
-QUERIES = {"p1_found": p1_found, "p6_found": p6_found, "p6_groups": p6_groups, "p3_found": p3_found, "p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "documents", "doc_id", "text")
+    names, weights = fit_subjects(documents, "text", read_table(spark, folder, "subject_examples"), "subject", "text")
+    return document_subjects(documents, "doc_id", "text", names, weights).select("doc_id", "subject")
+
+
+QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p6_found": p6_found, "p6_groups": p6_groups, "p3_found": p3_found, "p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
 ORACLES: dict[str, str] = {}
