@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seismark.llm.canonical import holds_name
+from seismark.llm.mixing import mix_report, mix_sources
 from seismark.llm.neardup import duplicate_groups, expanded_pairs, near_duplicates
+from seismark.llm.packing import pack_documents, packing_report
 from seismark.llm.placenames import map_label_places
 from seismark.llm.residue import page_verdicts, residue_pages
 from seismark.llm.subjects import document_subjects, fit_subjects
 from seismark.llm.survivors import Field, surviving_records, survivors
+from seismark.llm.tokens import token_counts
 from seismark.operators.instants import normalise_instants
 from seismark.sources import read_table
 
@@ -83,5 +86,29 @@ def p10_found(spark: SparkSession, folder: str) -> DataFrame:
     return document_subjects(documents, "doc_id", "text", names, weights).select("doc_id", "subject")
 
 
-QUERIES = {"p10_found": p10_found, "p1_found": p1_found, "p6_found": p6_found, "p6_groups": p6_groups, "p3_found": p3_found, "p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
+#: Tokens of a container.
+CAPACITY = 2048
+
+
+def _sized_documents(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts(read_table(spark, folder, "documents", "doc_id", "source", "text"), "text")
+
+
+def p8_packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack_documents(_sized_documents(spark, folder), "doc_id", "tokens", CAPACITY)
+
+
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(p8_packed(spark, folder), CAPACITY)
+
+
+def p9_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(_sized_documents(spark, folder), "doc_id", "source", "tokens", read_table(spark, folder, "source_targets"))
+
+
+def p9_report(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_report(p9_mix(spark, folder), "source", "tokens", read_table(spark, folder, "source_targets"))
+
+
+QUERIES = {"p8_packed": p8_packed, "p8_report": p8_report, "p9_mix": p9_mix, "p9_report": p9_report, "p10_found": p10_found, "p1_found": p1_found, "p6_found": p6_found, "p6_groups": p6_groups, "p3_found": p3_found, "p2_found": p2_found, "p4_found": p4_found, "p4_voted": p4_voted}
 ORACLES: dict[str, str] = {}
