@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,12 +24,22 @@ def build_session(app: str = "seismark", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the cluster's shared folder (``spark.checkpoint.dir``).
-
-    Only where that setting is absent, as in tests, is a folder of our own used.
-    """
+def _shared_folder(df: DataFrame) -> str:
+    """The checkpoint folder of the session; only where ``spark.checkpoint.dir`` is unset, as in tests, one of our own."""
     context = df.sparkSession.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(tempfile.mkdtemp(prefix="seismark-checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the cluster's shared folder (``spark.checkpoint.dir``)."""
+    _shared_folder(df)
     return df.checkpoint()
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The same as a Parquet table in the shared folder, for wide intermediate results of which later steps read a part."""
+    path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
