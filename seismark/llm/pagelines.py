@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seismark.session import cut_lineage
+from seismark.session import cut_lineage, written
 
 #: Lines longer than this are paragraphs, which mark where a report begins and ends; longer than ``MASKED`` they are hashed as they are.
 PARAGRAPH, MASKED = 140, 200
@@ -74,14 +74,19 @@ def page_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
     lines = lines.withColumn("shape", F.when(F.col("masked").rlike(r"\p{Ll}{2}"), F.col("masked")).otherwise(F.lower("line")))
     short = F.length("line") <= MASKED
     anchored = F.coalesce(F.col("first") >= 0, F.lit(False))
+    ended = F.col("line").rlike(_SENTENCE_END)
+    inside = anchored & (F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last"))
     return lines.select(
-        "page", "host", "line_no", "line", "may_slot", (F.col("line_no") == F.col("opening")).alias("opening"), short.alias("short"), anchored.alias("anchored"),
+        "page", "host", "line_no", F.length("line").alias("chars"), (F.col("line_no") == F.col("opening")).alias("opening"), anchored.alias("anchored"), inside.alias("inside"),
         F.xxhash64("shape").alias("key"),
         F.when(short & F.col("shape").rlike(_LABEL), F.xxhash64(F.regexp_replace("shape", _LABEL, ""))).alias("rest_key"),
         F.when(short, template_leaf(F.col("shape"))).alias("leaf"),
-        (anchored & (F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last"))).alias("inside"),
         (F.col("may_fill") & is_filler(F.col("line"))).alias("filler"),
-        (F.col("line").rlike(_SENTENCE_END) & (F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit(""))) >= 4)).alias("sentence"),
+        (ended & (F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit(""))) >= 4)).alias("sentence"),
+        (short & ~inside & ~ended & ~F.col("line").rlike(_BULLET)).alias("alone"),
+        F.col("line").rlike(_REPORT_NOTE).alias("note"),
+        F.when(F.col("may_slot"), F.regexp_extract_all("line", F.lit(SURE_SLOTS), F.lit(0))).alias("sure"),
+        F.when(F.col("may_slot"), F.regexp_extract_all("line", F.lit(POSSIBLE_SLOTS), F.lit(0))).alias("possible"),
     )
 
 
@@ -119,15 +124,15 @@ def line_verdicts(lines: DataFrame, pages: DataFrame, host: str) -> tuple[DataFr
 
 
 def judged_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
-    """page, line_no, line, furniture, message, filler, may_slot and opening (the page's first) for every non-blank line.
+    """page, line_no, chars, furniture, message, filler, opening (the page's first), sure and possible slots of each line.
 
     A line is furniture if its key recurs around reports, if it is a label or number before such a line, or if it is a
     title-like line that occurs too seldom to count and stands outside the report. Correction notes belong to a report.
     """
-    lines = page_lines(pages, page, host, text)
+    # The text is read once: what both the counts and the verdicts need of a line is written down, without the line.
+    lines = written(page_lines(pages, page, host, text))
     keys, leaves = line_verdicts(lines, pages, host)
     rest = keys.select(F.col("key").alias("rest_key"), F.col("furniture").alias("rest_furniture"))
     known = lines.join(keys, "key", "left").join(rest, "rest_key", "left").join(leaves, "leaf", "left")
-    alone = ~F.col("inside") & F.col("short") & ~F.col("sentence") & ~F.col("line").rlike(_BULLET) & ~F.col("line").rlike(_SENTENCE_END)
-    furniture = (F.coalesce("furniture", F.lit(False)) | F.coalesce("rest_furniture", F.lit(False)) | (F.col("furniture").isNull() & alone)) & ~F.col("line").rlike(_REPORT_NOTE)
-    return known.select("page", "line_no", "line", furniture.alias("furniture"), F.coalesce("message", F.lit(False)).alias("message"), "filler", "may_slot", "opening")
+    furniture = (F.coalesce("furniture", F.lit(False)) | F.coalesce("rest_furniture", F.lit(False)) | (F.col("furniture").isNull() & F.col("alone") & ~F.col("sentence"))) & ~F.col("note")
+    return known.select("page", "line_no", "chars", furniture.alias("furniture"), F.coalesce("message", F.lit(False)).alias("message"), "filler", "opening", "sure", "possible")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from seismark.llm.pagelines import POSSIBLE_SLOTS, SURE_SLOTS, judged_lines
+from seismark.llm.pagelines import judged_lines
 from seismark.session import cut_lineage
 
 #: Characters of report text below which a page holds no report.
@@ -26,11 +26,8 @@ def page_verdicts(pages: DataFrame, page: str, host: str, text: str) -> DataFram
     """
     lines = judged_lines(pages, page, host, text)
     report = ~F.col("furniture")
-    may = report & F.col("may_slot")
-    sure = F.when(may, F.regexp_extract_all("line", F.lit(SURE_SLOTS), F.lit(0)))
-    possible = F.when(may, F.regexp_extract_all("line", F.lit(POSSIBLE_SLOTS), F.lit(0)))
-    held = F.when(report & ~F.col("message") & ~F.col("filler"), F.length("line")).otherwise(0)
-    rows = lines.select("page", "line_no", "furniture", "opening", held.alias("held"), sure.alias("sure"), possible.alias("possible"))
+    held = F.when(report & ~F.col("message") & ~F.col("filler"), F.col("chars")).otherwise(0)
+    rows = lines.select("page", "line_no", "furniture", "opening", held.alias("held"), F.when(report, F.col("sure")).alias("sure"), F.when(report, F.col("possible")).alias("possible"))
     verdicts = rows.groupBy("page").agg(
         F.collect_set(F.when(F.col("furniture"), F.col("line_no"))).alias("furniture_lines"),
         (F.sum("held") / F.greatest(F.sum(F.col("opening").cast("int")), F.lit(1))).cast("bigint").alias("report_chars"),
