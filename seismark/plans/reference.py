@@ -1,6 +1,446 @@
-"""Queries of the operators for articles, labels, events and prices."""
+"""Queries of the operators for articles, labels, events and prices, and the SQL they are held against."""
 
 from __future__ import annotations
 
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from seismark.functions import phrases
+from seismark.functions import text as tx
+from seismark.operators import events as ev
+from seismark.operators import ingest, models, sentiment, stocks
+from seismark.operators.dataset import ArticleSet, distributions, strict_date
+from seismark.operators.gazetteer import gazetteer, places_in
+from seismark.session import cut_lineage
+from seismark.sources import read_table
+from seismark.streaming.sessions import drain, file_stream, gap_sessions
+
+FEEDS: dict[str, float] = {"pandemic": 0.5, "stock market crash": 5.0}
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query, with its SQL where SQL can express it."""
+
+    def register(function):
+        QUERIES[name] = function
+        if sql:
+            ORACLES[name] = sql
+        return function
+
+    return register
+
+
+def _set(spark: SparkSession, folder: str) -> ArticleSet:
+    return ArticleSet(read_table(spark, folder, "articles"), read_table(spark, folder, "labels"))
+
+
+_DAY = "CASE WHEN regexp_full_match(dt, '\\d{4}-\\d{2}-\\d{2}') THEN try_cast(dt AS DATE) END"
+
+
+@query(
+    "articles_labels_inner",
+    f"SELECT a.index_id, a.title, l.label_id AS label_id_label, l.event_occured = 1 AS event_occured_label, l.event AS event_label, l.impact AS impact_label, {_DAY} AS dt_label, l.country AS country_label, a.country FROM articles a JOIN labels l ON a.index_id = l.index_id",
+)
+def articles_labels_inner(spark: SparkSession, folder: str) -> DataFrame:
+    return _set(spark, folder).joined().select("index_id", "title", "label_id_label", "event_occured_label", "event_label", "impact_label", "dt_label", "country_label", "country")
+
+
+@query("filter_label_in", "SELECT index_id, label_id, event, impact FROM labels WHERE event_occured = 1 AND event IN ('flood', 'wildfire', 'earthquake') AND impact IN (3, 4, 5) AND index_id IN (SELECT index_id FROM articles)")
+def filter_label_in(spark: SparkSession, folder: str) -> DataFrame:
+    kept = _set(spark, folder).where_labels(event_occured=True, event=["flood", "wildfire", "earthquake"], impact=[3, 4, 5], city=[])
+    return kept.labels.join(kept.articles.select("index_id"), "index_id", "left_semi").select("index_id", "label_id", "event", "impact")
+
+
+@query("filter_label_null", "SELECT index_id, title FROM articles WHERE index_id IN (SELECT index_id FROM labels WHERE city IS NULL AND latitude IS NULL AND event_occured = 1)")
+def filter_label_null(spark: SparkSession, folder: str) -> DataFrame:
+    return _set(spark, folder).where_labels(event_occured=True, missing=["city", "latitude"]).articles.select("index_id", "title")
+
+
+@query("filter_date_between", "SELECT label_id, index_id FROM labels WHERE index_id IN (SELECT index_id FROM articles WHERE query IN ('flood', 'riots', 'tsunami') AND fetched_at BETWEEN TIMESTAMPTZ '2020-01-01 00:00:00+00' AND TIMESTAMPTZ '2023-12-31 23:59:59+00')")
+def filter_date_between(spark: SparkSession, folder: str) -> DataFrame:
+    span = tuple(F.lit(x).cast("timestamp") for x in ("2020-01-01 00:00:00Z", "2023-12-31 23:59:59Z"))
+    return _set(spark, folder).where_articles(["flood", "riots", "tsunami"], between=span).labels.select("label_id", "index_id")
+
+
+@query("filter_date_in", "SELECT index_id, url FROM articles WHERE CAST(fetched_at AT TIME ZONE 'UTC' AS DATE) IN (DATE '2019-01-06', DATE '2019-01-07', DATE '2021-06-01', DATE '2022-02-02')")
+def filter_date_in(spark: SparkSession, folder: str) -> DataFrame:
+    days = [F.lit(d).cast("date") for d in ("2019-01-06", "2019-01-07", "2021-06-01", "2022-02-02")]
+    return _set(spark, folder).where_articles(on_dates=days).articles.select("index_id", "url")
+
+
+@query("semi_articles_by_label", "SELECT index_id, domain, query FROM articles WHERE index_id IN (SELECT index_id FROM labels WHERE event_occured = 1)")
+def semi_articles_by_label(spark: SparkSession, folder: str) -> DataFrame:
+    return _set(spark, folder).where_labels(event_occured=True).articles.select("index_id", "domain", "query")
+
+
+@query("anti_unprocessed", "SELECT DISTINCT url, domain FROM links WHERE url IS NOT NULL AND url NOT IN (SELECT url FROM articles WHERE url IS NOT NULL)")
+def anti_unprocessed(spark: SparkSession, folder: str) -> DataFrame:
+    articles = read_table(spark, folder, "articles", "url", "content")
+    stored, failed = articles.where(F.col("content").isNotNull()).select("url"), articles.where(F.col("content").isNull()).select("url")
+    return ingest.unprocessed(read_table(spark, folder, "links", "url", "domain"), "url", stored, failed).distinct()
+
+
+@query(
+    "dist_long",
+    "SELECT \"column\", value, count(*) AS n FROM (UNPIVOT (SELECT event, CAST(impact AS VARCHAR) AS impact, dt, city, state, country, CAST(event_occured AS VARCHAR) AS event_occured, labeller FROM labels) ON event, impact, dt, city, state, country, event_occured, labeller INTO NAME \"column\" VALUE value) GROUP BY ALL",
+)
+def dist_long(spark: SparkSession, folder: str) -> DataFrame:
+    return distributions(read_table(spark, folder, "labels"), ["event", "impact", "dt", "city", "state", "country", "event_occured", "labeller"])
+
+
+@query(
+    "url_keep_first",
+    "SELECT url, date, country, query, title, domain FROM (SELECT *, row_number() OVER (PARTITION BY url ORDER BY date NULLS FIRST, country NULLS FIRST, query NULLS FIRST, title NULLS FIRST, domain NULLS FIRST) AS rn FROM links WHERE url IS NOT NULL) WHERE rn = 1",
+)
+def url_keep_first(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.keep_first(read_table(spark, folder, "links"), "url", ["date", "country", "query", "title", "domain"]).select("url", "date", "country", "query", "title", "domain")
+
+
+@query(
+    "month_task_grid",
+    """
+    WITH span AS (SELECT min(strptime(date, '%Y%m%dT%H%M%SZ'))::DATE AS lo, max(strptime(date, '%Y%m%dT%H%M%SZ'))::DATE AS hi FROM links),
+         months AS (SELECT unnest(generate_series(date_trunc('month', lo)::TIMESTAMP, date_trunc('month', hi)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS month_start, hi FROM span)
+    SELECT c.country, q.query, m.month_start, least(last_day(m.month_start), m.hi) AS month_end
+    FROM months m, (SELECT DISTINCT country FROM links WHERE country IS NOT NULL) c, (SELECT DISTINCT query FROM links WHERE query IS NOT NULL) q
+    WHERE NOT EXISTS (SELECT 1 FROM links k WHERE k.country = c.country AND k.query = q.query AND date_trunc('month', strptime(k.date, '%Y%m%dT%H%M%SZ'))::DATE = m.month_start)
+    """,
+)
+def month_task_grid(spark: SparkSession, folder: str) -> DataFrame:
+    """Fetch tasks of country, search term and month that no link has come from yet. The grid spans two short vocabularies and the months."""
+    links = read_table(spark, folder, "links", "country", "query", "date").select("country", "query", F.to_date(F.try_to_timestamp("date", F.lit("yyyyMMdd'T'HHmmss'Z'"))).alias("day"))
+    span = links.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
+    months = span.select(F.explode(ingest.month_tasks(F.col("lo"), F.col("hi"), F.col("hi"))).alias("m")).select("m.*")
+    countries, terms = links.select("country").where("country IS NOT NULL").distinct(), links.select("query").where("query IS NOT NULL").distinct()
+    done = links.select("country", "query", F.to_date(F.trunc("day", "month")).alias("month_start")).distinct()
+    grid = F.broadcast(countries).crossJoin(F.broadcast(terms)).crossJoin(F.broadcast(months))
+    return grid.join(done, ["country", "query", "month_start"], "left_anti").select("country", "query", "month_start", "month_end")
+
+
+_STRATA_SQL = """
+    WITH us AS (SELECT * FROM links WHERE country = 'US'),
+         s AS (SELECT query, substr(date, 1, 6) AS month, count(*) AS stratum_size,
+                      count(*) * CASE query WHEN 'pandemic' THEN 0.5::DOUBLE WHEN 'stock market crash' THEN 5.0::DOUBLE ELSE 1.0::DOUBLE END AS weighted FROM us GROUP BY query, substr(date, 1, 6)),
+         z AS (SELECT *, CAST(round_even(weighted / (SELECT sum(weighted) FROM s) * 500, 0) AS BIGINT) AS sample_size FROM s)
+"""
+
+
+def _strata(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    links = read_table(spark, folder, "links").where(F.col("country") == "US").withColumn("month", F.substring("date", 1, 6))
+    weight = F.lit(1.0)
+    for term, value in FEEDS.items():
+        weight = F.when(F.col("query") == term, value).otherwise(weight)
+    return links, ingest.strata_sample_sizes(links, ["query", "month"], weight, 500)
+
+
+@query("strata_sizes", _STRATA_SQL + " SELECT query, month, stratum_size, sample_size FROM z")
+def strata_sizes(spark: SparkSession, folder: str) -> DataFrame:
+    return _strata(spark, folder)[1]
+
+
+@query(
+    "stratified_sample",
+    _STRATA_SQL
+    + """ SELECT url, query, month FROM (SELECT k.url, k.query, substr(k.date, 1, 6) AS month, z.sample_size, row_number() OVER (PARTITION BY k.query, substr(k.date, 1, 6) ORDER BY md5(k.url || k.date || '42'), k.url || k.date) AS rn
+          FROM (SELECT DISTINCT url, query, date FROM us WHERE url IS NOT NULL) k JOIN z ON k.query IS NOT DISTINCT FROM z.query AND substr(k.date, 1, 6) IS NOT DISTINCT FROM z.month) WHERE rn <= sample_size""",
+)
+def stratified_sample(spark: SparkSession, folder: str) -> DataFrame:
+    links, sizes = _strata(spark, folder)
+    rows = links.where(F.col("url").isNotNull()).select("url", "query", "date", "month").distinct()
+    return ingest.stratified_sample(rows, ["query", "month"], sizes.select("query", "month", "sample_size"), F.concat("url", "date"), 42).select("url", "query", "month")
+
+
+@query("blob_offsets", "WITH a AS (SELECT DISTINCT index_id, octet_length(encode(coalesce(content, ''))) AS n FROM articles) SELECT index_id, n, coalesce(sum(n) OVER (ORDER BY index_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS \"offset\" FROM a")
+def blob_offsets(spark: SparkSession, folder: str) -> DataFrame:
+    sizes = read_table(spark, folder, "articles", "index_id", "content").select("index_id", F.octet_length(F.coalesce("content", F.lit(""))).alias("n")).distinct()
+    return ingest.running_offsets(sizes, "index_id", F.col("n"), "offset").select("index_id", "n", "offset")
+
+
+@query(
+    "batch_completeness",
+    "SELECT CAST(floor((a.index_id - 1) / 10) AS BIGINT) AS batch, count(*) AS items, count(l.index_id) AS done, count(*) = count(l.index_id) AS complete FROM (SELECT DISTINCT index_id FROM articles) a LEFT JOIN (SELECT DISTINCT index_id FROM labels WHERE event_occured = 1) l USING (index_id) GROUP BY ALL",
+)
+def batch_completeness(spark: SparkSession, folder: str) -> DataFrame:
+    done = read_table(spark, folder, "labels", "index_id", "event_occured").where("event_occured = 1").select("index_id")
+    return ingest.batch_completeness(read_table(spark, folder, "articles", "index_id"), "index_id", done, 10)
+
+
+_RUNS_SQL = """
+    WITH e AS (SELECT *, CAST(ts AS DATE) AS day FROM events),
+         d AS (SELECT DISTINCT user_id, event_type, day FROM e),
+         s AS (SELECT *, CASE WHEN date_diff('day', lag(day) OVER w, day) > 3 THEN 1 ELSE 0 END AS starts FROM d WINDOW w AS (PARTITION BY user_id, event_type ORDER BY day)),
+         c AS (SELECT user_id, event_type, day, CAST(sum(starts) OVER (PARTITION BY user_id, event_type ORDER BY day ROWS UNBOUNDED PRECEDING) AS BIGINT) AS time_cluster FROM s)
+"""
+
+
+def _runs(spark: SparkSession, folder: str) -> DataFrame:
+    events = read_table(spark, folder, "events").withColumn("day", F.to_date("ts"))
+    return ev.temporal_clusters(events, ["user_id", "event_type"], "day", 3)
+
+
+@query("temporal_clusters", _RUNS_SQL + " SELECT e.event_id, c.time_cluster FROM e JOIN c USING (user_id, event_type, day)")
+def temporal_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return _runs(spark, folder).select("event_id", F.col("time_cluster").cast("bigint"))
+
+
+@query(
+    "unique_events_temporal",
+    _RUNS_SQL + " SELECT user_id, event_type, time_cluster, min(day) AS dt, count(*) AS n_reports, round(stddev_pop(value), 6) AS value_std, date_diff('day', min(day), max(day)) AS span_days, max(value) AS most FROM e JOIN c USING (user_id, event_type, day) GROUP BY ALL",
+)
+def unique_events_temporal(spark: SparkSession, folder: str) -> DataFrame:
+    grouped = _runs(spark, folder).groupBy("user_id", "event_type", F.col("time_cluster").cast("bigint").alias("time_cluster"))
+    return grouped.agg(F.min("day").alias("dt"), F.count(F.lit(1)).alias("n_reports"), F.round(F.stddev_pop("value"), 6).alias("value_std"), F.datediff(F.max("day"), F.min("day")).cast("bigint").alias("span_days"), F.max("value").alias("most"))
+
+
+
+
+@query("spatial_clusters")
+def spatial_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return ev.spatial_clusters(read_table(spark, folder, "labels", "latitude", "longitude"), "latitude", "longitude", 100.0)
+
+
+def _dated_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "labels").where("event_occured = 1").withColumn("day", strict_date(F.col("dt")))
+
+
+@query("unique_events_scored")
+def unique_events_scored(spark: SparkSession, folder: str) -> DataFrame:
+    return ev.unique_events(_dated_labels(spark, folder))
+
+
+@query("confident_events")
+def confident_events(spark: SparkSession, folder: str) -> DataFrame:
+    return unique_events_scored(spark, folder).where(F.col("confidence") >= 0.7)
+
+
+_STEPS_SQL = f"""
+    WITH days AS (SELECT ticker, date, max(close) AS close FROM prices WHERE ticker IS NOT NULL AND date IS NOT NULL GROUP BY ALL),
+         steps AS (SELECT *, lead(close, 1) OVER w AS c1, lead(close, 3) OVER w AS c3, lead(close, 7) OVER w AS c7 FROM days WINDOW w AS (PARTITION BY ticker ORDER BY date)),
+         asked AS (SELECT DISTINCT {_DAY} AS day FROM labels WHERE event_occured = 1),
+         pairs AS (SELECT a.day, t.ticker FROM asked a, (SELECT DISTINCT ticker FROM days) t WHERE a.day IS NOT NULL),
+         m AS (SELECT p.day, p.ticker, s.date, s.close, s.c1, s.c3, s.c7 FROM pairs p ASOF JOIN steps s ON p.ticker = s.ticker AND p.day <= s.date)
+"""
+
+
+def _matched(spark: SparkSession, folder: str) -> DataFrame:
+    days = _dated_labels(spark, folder).select("day")
+    return stocks.forward_asof(days, "day", stocks.price_steps(read_table(spark, folder, "prices")))
+
+
+@query("asof_forward_base", _STEPS_SQL + " SELECT day, ticker, date, close FROM m")
+def asof_forward_base(spark: SparkSession, folder: str) -> DataFrame:
+    return _matched(spark, folder).select("day", "ticker", "date", "close")
+
+
+@query("returns_1_3_7", _STEPS_SQL + " SELECT day, ticker, round((c1 - close) / nullif(close, 0), 9) AS return_1d, round((c3 - close) / nullif(close, 0), 9) AS return_3d, round((c7 - close) / nullif(close, 0), 9) AS return_7d FROM m")
+def returns_1_3_7(spark: SparkSession, folder: str) -> DataFrame:
+    return stocks.with_returns(_matched(spark, folder)).select("day", "ticker", *[F.round(f"return_{k}d", 9).alias(f"return_{k}d") for k in (1, 3, 7)])
+
+
+@query(
+    "event_return_corr",
+    _STEPS_SQL
+    + f""", r AS (SELECT m.day, (c1 - close) / nullif(close, 0) AS r1, (c3 - close) / nullif(close, 0) AS r3, (c7 - close) / nullif(close, 0) AS r7 FROM m),
+          f AS (SELECT l.event, r.* FROM (SELECT event, {_DAY} AS day FROM labels WHERE event_occured = 1) l JOIN r USING (day) WHERE r1 IS NOT NULL AND r3 IS NOT NULL AND r7 IS NOT NULL),
+          t AS (SELECT DISTINCT event AS name FROM f WHERE event IS NOT NULL),
+          g AS (SELECT t.name, (f.event IS NOT DISTINCT FROM t.name)::INT::DOUBLE AS x, f.r1, f.r3, f.r7 FROM t, f)
+          SELECT name AS event, round(CASE WHEN stddev_pop(x) > 0 THEN corr(x, r1) END, 6) AS corr_1d, round(CASE WHEN stddev_pop(x) > 0 THEN corr(x, r3) END, 6) AS corr_3d, round(CASE WHEN stddev_pop(x) > 0 THEN corr(x, r7) END, 6) AS corr_7d FROM g GROUP BY name""",
+)
+def event_return_corr(spark: SparkSession, folder: str) -> DataFrame:
+    table = stocks.event_return_correlation(_dated_labels(spark, folder), "event", "day", read_table(spark, folder, "prices"))
+    return table.select("event", *[F.round(f"corr_{k}d", 6).alias(f"corr_{k}d") for k in (1, 3, 7)])
+
+
+@query("text_clean", "SELECT DISTINCT index_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(title), '’', ''''), 'won''t', 'will not'), 'can''t', 'can not'), 'n''t', ' not'), '''re', ' are'), '''ve', ' have'), '''ll', ' will'), '''m', ' am'), 'it''s', 'it is'), 'that''s', 'that is'), '[\\p{P}+]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM articles")
+def text_clean(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "articles", "index_id", "title").select("index_id", tx.clean_text(F.col("title")).alias("cleaned")).distinct()
+
+
+_WORDS_SQL = "WITH w AS (SELECT index_id, unnest(list_filter(string_split(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS token FROM (SELECT DISTINCT index_id, title FROM articles)), b AS (SELECT index_id, token, count(*) AS n FROM w GROUP BY ALL)"
+
+
+def _title_bag(spark: SparkSession, folder: str) -> DataFrame:
+    titles = read_table(spark, folder, "articles", "index_id", "title").distinct()
+    return models.bag_of_words(titles, "index_id", tx.words(F.col("title")))
+
+
+@query("token_df_filter", _WORDS_SQL + " SELECT token, count(*) AS docs FROM b GROUP BY token HAVING count(*) >= 5 AND count(*) <= 0.8 * (SELECT count(DISTINCT index_id) FROM b)")
+def token_df_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return models.frequent_tokens(_title_bag(spark, folder), "index_id")
+
+
+@query("tokens_topk", _WORDS_SQL + " SELECT token, sum(n)::BIGINT AS n FROM b GROUP BY token ORDER BY n DESC, token LIMIT 100")
+def tokens_topk(spark: SparkSession, folder: str) -> DataFrame:
+    return _title_bag(spark, folder).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(100)
+
+
+@query("topic_tokens")
+def topic_tokens(spark: SparkSession, folder: str) -> DataFrame:
+    return read_table(spark, folder, "articles", "index_id", "title").distinct().select("index_id", tx.topic_tokens(F.col("title")).alias("tokens"), tx.token_estimate(F.col("title")).alias("estimate"))
+
+
+@query(
+    "tfidf_sklearn",
+    _WORDS_SQL + ", d AS (SELECT token, count(*) AS df FROM b GROUP BY token), r AS (SELECT index_id, token, n * (ln((1 + (SELECT count(DISTINCT index_id) FROM articles)) / (1 + df)) + 1) AS raw FROM b JOIN d USING (token)) SELECT index_id, token, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY index_id)), 6) AS weight FROM r",
+)
+def tfidf_sklearn(spark: SparkSession, folder: str) -> DataFrame:
+    documents = read_table(spark, folder, "articles", "index_id").distinct().count()
+    return models.tfidf(_title_bag(spark, folder), "index_id", documents).select("index_id", "token", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "nb_multinomial",
+    _WORDS_SQL + ", q AS (SELECT DISTINCT index_id, query FROM articles WHERE query IS NOT NULL), c AS (SELECT query, token, sum(n) AS n FROM b JOIN q USING (index_id) GROUP BY ALL) SELECT query, token, round(ln((n + 1) / (sum(n) OVER (PARTITION BY query) + (SELECT count(DISTINCT token) FROM c))), 6) AS log_probability FROM c",
+)
+def nb_multinomial(spark: SparkSession, folder: str) -> DataFrame:
+    classes = read_table(spark, folder, "articles", "index_id", "query").where("query IS NOT NULL").distinct()
+    return models.naive_bayes_terms(_title_bag(spark, folder), "index_id", classes, "query").select("query", "token", F.round("log_probability", 6).alias("log_probability"))
+
+
+@query(
+    "substring_label_match",
+    """
+    WITH p AS (SELECT DISTINCT l.label_id, a.query, l.event FROM labels l JOIN articles a USING (index_id) WHERE l.event_occured = 1),
+         m AS (SELECT *, coalesce(len(list_filter(list_filter(regexp_split_to_array(replace(lower(query), '+', ' '), '\\s+'), lambda x: x <> ''),
+               lambda x: len(list_filter(list_filter(regexp_split_to_array(replace(lower(event), '+', ' '), '\\s+'), lambda y: y <> ''), lambda y: contains(y, x) OR contains(x, y))) > 0)) >= 1, false) AS hit FROM p)
+    SELECT query, count(*) AS labels, sum(hit::INT)::BIGINT AS matching, round(avg(hit::INT), 6) AS accuracy FROM m GROUP BY query
+    """,
+)
+def substring_label_match(spark: SparkSession, folder: str) -> DataFrame:
+    labels = read_table(spark, folder, "labels", "label_id", "index_id", "event", "event_occured").where("event_occured = 1")
+    pairs = labels.join(read_table(spark, folder, "articles", "index_id", "query"), "index_id").select("label_id", "query", "event").distinct()
+    hit = tx.shares_partial_word(F.col("query"), F.col("event")).cast("int")
+    return pairs.groupBy("query").agg(F.count(F.lit(1)).alias("labels"), F.sum(hit).alias("matching"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
+_SOFT_SQL = "CASE WHEN a IS NOT DISTINCT FROM b THEN 1 WHEN coalesce(a, '') = '' OR coalesce(b, '') = '' THEN 0 WHEN contains(lower(a), lower(b)) OR contains(lower(b), lower(a)) THEN 1 ELSE 0 END"
+
+
+@query("soft_compare_acc", f"SELECT labeller, count(*) AS rows_all, sum({_SOFT_SQL})::BIGINT AS matching, round(avg({_SOFT_SQL}), 6) AS accuracy FROM (SELECT labeller, loc AS a, city AS b FROM labels) GROUP BY labeller")
+def soft_compare_acc(spark: SparkSession, folder: str) -> DataFrame:
+    hit = tx.soft_equal(F.col("loc"), F.col("city"))
+    return read_table(spark, folder, "labels", "labeller", "loc", "city").groupBy("labeller").agg(F.count(F.lit(1)).alias("rows_all"), F.sum(hit).alias("matching"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
+@query("gazetteer_extract")
+def gazetteer_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of each article's title; of its content only where the title names none."""
+    articles = read_table(spark, folder, "articles", "index_id", "title", "content").dropDuplicates(["index_id"])
+    names = cut_lineage(gazetteer(read_table(spark, folder, "places"), read_table(spark, folder, "countries")))
+    titled = cut_lineage(places_in(articles, "index_id", "title", names))
+    rest = articles.join(titled.select("index_id").distinct(), "index_id", "left_anti")
+    return titled.unionByName(places_in(rest, "index_id", "content", names)).select("index_id", "kind", "name", "country").distinct()
+
+
+@query("date_resolve")
+def date_resolve(spark: SparkSession, folder: str) -> DataFrame:
+    """The day an article's event fell on, from its date phrases and the day it was fetched."""
+    articles = read_table(spark, folder, "articles", "index_id", "title", "content", "fetched_at")
+    return articles.select("index_id", phrases.event_day(F.col("content"), F.col("title"), F.to_date("fetched_at")).alias("event_day")).distinct()
+
+
+_LEXICON_SQL = "len(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w IN ({})))"
+_POS, _NEG = (_LEXICON_SQL.format(", ".join(f"'{w}'" for w in words)) for words in (sentiment.POSITIVE, sentiment.NEGATIVE))
+
+
+@query(
+    "vader_buckets",
+    f"WITH s AS (SELECT DISTINCT index_id, {_POS} AS pos_wrds, {_NEG} AS neg_wrds FROM articles WHERE content IS NOT NULL), c AS (SELECT *, (pos_wrds - neg_wrds) / sqrt((pos_wrds - neg_wrds) * (pos_wrds - neg_wrds) + 15) AS score FROM s) SELECT index_id, pos_wrds::INT AS pos_wrds, neg_wrds::INT AS neg_wrds, CASE WHEN score <= -0.7 THEN 5 WHEN score <= -0.4 THEN 4 WHEN score <= -0.2 THEN 3 WHEN score <= 0.3 THEN 2 ELSE 0 END::INT AS impact FROM c",
+)
+def vader_buckets(spark: SparkSession, folder: str) -> DataFrame:
+    content = F.col("content")
+    counted = read_table(spark, folder, "articles", "index_id", "content").where(content.isNotNull()).select("index_id", sentiment.count_of(content, sentiment.POSITIVE).alias("pos_wrds"), sentiment.count_of(content, sentiment.NEGATIVE).alias("neg_wrds"))
+    return counted.distinct().withColumn("impact", sentiment.impact_class(sentiment.compound(F.col("pos_wrds"), F.col("neg_wrds"))))
+
+
+@query("llm_json_parse", "SELECT CAST(floor((label_id - 1) / 10) AS BIGINT) AS batch, label_id, event_occured, event, impact, dt, loc FROM (SELECT DISTINCT label_id, event_occured, event, impact, dt, loc FROM labels)")
+def llm_json_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels written as fenced JSON arrays of ten, as a model would answer, and read back by position."""
+    labels = read_table(spark, folder, "labels", "label_id", "event_occured", "event", "impact", "dt", "loc").distinct().withColumn("batch", F.floor((F.col("label_id") - 1) / 10))
+    batches = labels.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("label_id", "event_occured", "event", "impact", "dt", "loc"))).alias("rows"))
+    answers = batches.select("batch", F.size("rows").alias("items"), F.transform("rows", lambda r: r["label_id"]).alias("ids"), F.concat(F.lit("```json\n"), F.to_json(F.transform("rows", lambda r: r.dropFields("label_id"))), F.lit("\n```")).alias("response"))
+    parsed = tx.parse_label_response(answers, "batch", "response", "items")
+    return parsed.join(answers.select("batch", "ids"), "batch").select("batch", F.get("ids", F.col("position")).alias("label_id"), "event_occured", "event", "impact", "dt", "loc")
+
+
+@query(
+    "prompt_build",
+    "SELECT CAST(floor((index_id - 1) / 10) AS BIGINT) AS batch, count(*) AS items, md5(string_agg('Title: ' || coalesce(title, '') || chr(10) || 'Publish Date: ' || coalesce(date, '') || chr(10) || 'Content: ' || coalesce(content, ''), chr(10) || chr(10) ORDER BY index_id)) AS prompt FROM (SELECT DISTINCT index_id, title, date, content FROM articles) GROUP BY 1",
+)
+def prompt_build(spark: SparkSession, folder: str) -> DataFrame:
+    articles = read_table(spark, folder, "articles", "index_id", "title", "date", "content").distinct()
+    block = F.struct("index_id", tx.prompt_block(F.col("title"), F.col("date"), F.col("content")).alias("block"))
+    grouped = articles.groupBy(F.floor((F.col("index_id") - 1) / 10).alias("batch")).agg(F.array_sort(F.collect_list(block)).alias("blocks"))
+    return grouped.select("batch", F.size("blocks").cast("bigint").alias("items"), F.md5(F.array_join(F.transform("blocks", lambda b: b["block"]), "\n\n")).alias("prompt"))
+
+
+@query(
+    "confusion_report",
+    """
+    WITH p AS (SELECT a.query AS l, lower(b.event) AS p FROM (SELECT DISTINCT index_id, query FROM articles WHERE query IS NOT NULL) a JOIN labels b USING (index_id) WHERE b.event_occured = 1),
+         s AS (SELECT l AS class, count(*) AS support, sum((l = p)::INT) AS hit FROM p GROUP BY l), d AS (SELECT p AS class, count(*) AS said FROM p WHERE p IS NOT NULL GROUP BY p),
+         j AS (SELECT coalesce(s.class, d.class) AS class, coalesce(support, 0) AS support, coalesce(hit, 0) AS hit, coalesce(said, 0) AS said FROM s FULL JOIN d ON s.class = d.class),
+         r AS (SELECT *, CASE WHEN said = 0 THEN 1.0 ELSE hit / said END AS pr, CASE WHEN support = 0 THEN 1.0 ELSE hit / support END AS rc FROM j)
+    SELECT class, round(pr, 6) AS precision, round(rc, 6) AS recall, round(CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END, 6) AS f1, support::BIGINT AS support FROM r
+    """,
+)
+def confusion_report(spark: SparkSession, folder: str) -> DataFrame:
+    articles = read_table(spark, folder, "articles", "index_id", "query").where("query IS NOT NULL").distinct()
+    pairs = articles.join(read_table(spark, folder, "labels", "index_id", "event", "event_occured").where("event_occured = 1"), "index_id").select("query", F.lower("event").alias("said_event"))
+    return models.classification_report(pairs, "query", "said_event").select("class", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+@query(
+    "label_split",
+    "WITH l AS (SELECT DISTINCT label_id, impact FROM labels) SELECT label_id, impact, row_number() OVER (PARTITION BY impact ORDER BY md5(CAST(label_id AS VARCHAR) || '100'), label_id) <= ceil(count(*) OVER (PARTITION BY impact) * 0.3) AS is_test FROM l",
+)
+def label_split(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.seeded_split(read_table(spark, folder, "labels", "label_id", "impact").distinct(), ["impact"], F.col("label_id").cast("string"), 100, 0.3).select("label_id", "impact", "is_test")
+
+
+@query("cv_logistic")
+def cv_logistic(spark: SparkSession, folder: str) -> DataFrame:
+    rows = read_table(spark, folder, "embeddings").withColumn("is_low", (F.col("label") < 5).cast("int"))
+    return models.cross_validated_logistic(rows, "vec_id", "embedding", "is_low")
+
+
+def _split_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return ingest.seeded_split(read_table(spark, folder, "embeddings"), ["label"], F.col("vec_id").cast("string"), 103, 0.2)
+
+
+@query("rf_impact")
+def rf_impact(spark: SparkSession, folder: str) -> DataFrame:
+    return models.forest_predictions(_split_vectors(spark, folder), "vec_id", "embedding", "label", trees=40, depth=8)
+
+
+@query("lr_balanced")
+def lr_balanced(spark: SparkSession, folder: str) -> DataFrame:
+    return models.balanced_logistic_predictions(_split_vectors(spark, folder), "vec_id", "embedding", "label")
+
+
+@query("lda_topics")
+def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
+    titles = read_table(spark, folder, "articles", "index_id", "title").where("title IS NOT NULL").dropDuplicates(["index_id"])
+    return models.topics(titles, "index_id", tx.topic_tokens(F.col("title")))
+
+
+@query(
+    "stream_gap_sessions",
+    """
+    WITH s AS (SELECT *, CASE WHEN ts - lag(ts) OVER w >= INTERVAL 3 DAYS THEN 1 ELSE 0 END AS starts FROM events WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts)),
+         c AS (SELECT *, sum(starts) OVER (PARTITION BY user_id, event_type ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM s)
+    SELECT user_id, event_type, min(ts) AS started, count(*) AS n FROM c GROUP BY user_id, event_type, run HAVING max(ts) + INTERVAL 3 DAYS <= (SELECT max(ts) FROM events)
+    """,
+)
+def stream_gap_sessions(spark: SparkSession, folder: str) -> DataFrame:
+    """Sessions of the event stream that the watermark has closed, drained into a table and read back."""
+    path = f"{folder}/events.parquet"
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
+    base = f"{base}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    stream = file_stream(spark, folder, "events.parquet", spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    drain(gap_sessions(stream, ["user_id", "event_type"], "ts", "3 days", "0 seconds"), f"{base}/out", f"{base}/state")
+    return spark.read.parquet(f"{base}/out").select("user_id", "event_type", F.col("started").cast("timestamp_ntz").alias("started"), "n")
