@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.types import DoubleType
 
 from seismark.operators.components import connected_components
 
@@ -70,7 +71,7 @@ def spatial_clusters(df: DataFrame, lat: str, lon: str, radius_km: float) -> Dat
     return labelled.join(least, "component").select("lat", "lon", F.concat_ws(",", F.col("loc_cluster.lat").cast("string"), F.col("loc_cluster.lon").cast("string")).alias("loc_cluster"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def partial_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Best match of the shorter text within the longer, 0 to 100; 0 if either is missing."""
 

@@ -35,18 +35,13 @@ def places_in(texts: DataFrame, key: str, text: str, names: DataFrame, longest:
     """
     tokens = F.split(plain_name(F.col(text)), " ")
     base = texts.where(F.col(text).isNotNull()).select(F.col(key), tokens.alias("tokens"))
-    runs = F.filter(
-        F.flatten(
-            F.array(*[
-                F.coalesce(
-                    F.transform(F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - n + 1)), lambda i, n=n: F.struct(i.alias("position"), F.array_join(F.slice("tokens", i, n), " ").alias("name"))),
-                    F.array().cast("array<struct<position:int,name:string>>"),
-                )
-                for n in range(1, longest + 1)
-            ])
-        ),
-        lambda r: r["name"] != "",
-    )
+
+    def runs_of(n: int) -> Column:
+        starts = F.when(F.size("tokens") >= n, F.sequence(F.lit(1), F.size("tokens") - n + 1))
+        runs = F.transform(starts, lambda i: F.struct(i.alias("position"), F.array_join(F.slice("tokens", i, n), " ").alias("name")))
+        return F.coalesce(runs, F.array().cast("array<struct<position:int,name:string>>"))
+
+    runs = F.filter(F.flatten(F.array(*[runs_of(n) for n in range(1, longest + 1)])), lambda r: r["name"] != "")
     found = base.select(key, F.explode(runs).alias("run")).select(key, "run.position", "run.name")
     return found.join(names, "name").select(key, "kind", "name", "country", "position")
 

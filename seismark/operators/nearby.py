@@ -176,4 +176,6 @@ def points_near(left: DataFrame, left_id: str, left_lat: str, left_lon: str, rig
 
     placed_a = a.mapInPandas(place_left, "id bigint, lat double, lon double, cell bigint, salt bigint")
     placed_b = b.mapInPandas(place_right, "id bigint, lat double, lon double, cell bigint, salt bigint")
-    return placed_a.groupBy("cell", "salt").cogroup(placed_b.groupBy("cell", "salt")).applyInPandas(refine, "left_id bigint, right_id bigint, distance_km double")
+    pairs = placed_a.groupBy("cell", "salt").cogroup(placed_b.groupBy("cell", "salt")).applyInPandas(refine, "left_id bigint, right_id bigint, distance_km double")
+    # Points in several leaves can share an id.
+    return pairs.groupBy("left_id", "right_id").agg(F.min("distance_km").alias("distance_km"))
