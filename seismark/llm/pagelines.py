@@ -41,13 +41,14 @@ _SLOT_MASK = rf"(?:{SURE_SLOTS}|{POSSIBLE_SLOTS}|{_NAME}|\d+(?:[.,:]\d+)*)(?:\s+
 _LABEL = r"^(?:X[.)]|[^:.]{1,20}:)\s+"
 _REPORT_NOTE = r"(?i)^(?:correction|clarification|corrected|editor'?s note)\b"
 _SENTENCE_END = r"[.!?][\"”’']?$"
-_BLANKS = "\t\r\u00a0"
+_BLANKS = " \t\r\u00a0"
 _BULLET = r"^[-•*–]"
 
 
 def _filler_share(line: Column) -> Column:
-    words = F.filter(F.split(F.lower(line), r"[^a-z]+"), lambda w: w != "")
-    return F.size(F.filter(words, lambda w: w.isin(*FILLER_WORDS))) / F.greatest(F.size(words), F.lit(1))
+    lower = F.lower(line)
+    filler = F.size(F.regexp_extract_all(lower, F.lit(rf"\b(?:{'|'.join(FILLER_WORDS)})\b"), F.lit(0)))
+    return filler / F.greatest(F.size(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))), F.lit(1))
 
 
 def is_filler(line: Column) -> Column:
@@ -66,23 +67,24 @@ def page_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
         may_slot = may_slot | content.contains(mark)
     base = pages.where(content.isNotNull()).select(F.col(page).alias("page"), F.col(host).alias("host"), F.split(content, "\n").alias("lines"), may_fill.alias("may_fill"), may_slot.alias("may_slot"))
     base = base.withColumn("paragraphs", F.transform("lines", lambda x: (F.length(x) > PARAGRAPH) & ~(F.col("may_fill") & is_filler(x))))
-    base = base.withColumns({"first": F.array_position("paragraphs", True) - 1, "last": F.size("lines") - F.array_position(F.reverse("paragraphs"), True), "opening": F.array_position(F.transform("lines", lambda x: F.trim(F.translate(x, _BLANKS, "   ")) != ""), True) - 1})
+    base = base.withColumns({"first": F.array_position("paragraphs", True) - 1, "last": F.size("lines") - F.array_position(F.reverse("paragraphs"), True), "opening": F.array_position(F.transform("lines", lambda x: F.length(F.trim(x, F.lit(_BLANKS))) > 0), True) - 1})
     lines = base.select("page", "host", "may_fill", "may_slot", "first", "last", "opening", F.posexplode("lines").alias("line_no", "raw"))
-    lines = lines.withColumn("line", F.trim(F.translate("raw", _BLANKS, "   "))).where(F.col("line") != "")
+    lines = lines.withColumn("line", F.trim("raw", F.lit(_BLANKS))).where(F.col("line") != "")
     masked = F.when(F.length("line") > MASKED, F.col("line")).when(F.col("may_slot"), F.regexp_replace("line", _SLOT_MASK, "X")).otherwise(F.regexp_replace("line", _MASK, "X"))
     lines = lines.withColumn("masked", masked)
     lines = lines.withColumn("shape", F.when(F.col("masked").rlike(r"\p{Ll}{2}"), F.col("masked")).otherwise(F.lower("line")))
     short = F.length("line") <= MASKED
     anchored = F.coalesce(F.col("first") >= 0, F.lit(False))
-    ended = F.col("line").rlike(_SENTENCE_END)
+    ended = F.substring("line", -2, 2).rlike(_SENTENCE_END)
+    sentence = ended & F.col("shape").rlike(r"^(?:[^ ]* ){4}")
     inside = anchored & (F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last"))
     return lines.select(
         "page", "host", "line_no", F.length("line").alias("chars"), (F.col("line_no") == F.col("opening")).alias("opening"), anchored.alias("anchored"), inside.alias("inside"),
         F.xxhash64("shape").alias("key"),
         F.when(short & F.col("shape").rlike(_LABEL), F.xxhash64(F.regexp_replace("shape", _LABEL, ""))).alias("rest_key"),
-        F.when(short, template_leaf(F.col("shape"))).alias("leaf"),
+        F.when(short & sentence, template_leaf(F.col("shape"))).alias("leaf"),
         (F.col("may_fill") & is_filler(F.col("line"))).alias("filler"),
-        (ended & (F.length("shape") - F.length(F.replace("shape", F.lit(" "), F.lit(""))) >= 4)).alias("sentence"),
+        sentence.alias("sentence"),
         (short & ~inside & ~ended & ~F.col("line").rlike(_BULLET)).alias("alone"),
         F.col("line").rlike(_REPORT_NOTE).alias("note"),
         F.when(F.col("may_slot"), F.regexp_extract_all("line", F.lit(SURE_SLOTS), F.lit(0))).alias("sure"),
