@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from seismark.llm.canonical import holds_name
 from seismark.llm.mixing import mix_report, mix_sources
 from seismark.llm.neardup import duplicate_groups, expanded_pairs, near_duplicates
+from seismark.llm.pagelines import checked_broadcast
 from seismark.llm.packing import pack_documents, packing_report
 from seismark.llm.placenames import map_label_places
 from seismark.llm.residue import page_verdicts, residue_pages
@@ -15,6 +16,7 @@ from seismark.llm.subjects import document_subjects, fit_subjects
 from seismark.llm.survivors import Field, surviving_records, survivors
 from seismark.llm.tokens import token_counts
 from seismark.operators.instants import normalise_instants
+from seismark.session import cut_lineage
 from seismark.sources import read_table
 
 
@@ -34,7 +36,7 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def _similar_articles(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     articles = read_table(spark, folder, "articles", "index_id", "title", "content").where(F.trim(F.translate("content", "\t\r\n\u00a0", "    ")) != "")
-    usable = articles.join(p1_found(spark, folder), "index_id", "left_anti")
+    usable = articles.join(checked_broadcast(cut_lineage(p1_found(spark, folder))), "index_id", "left_anti")
     return near_duplicates(usable, "index_id", F.concat_ws(" ", F.coalesce("title", F.lit("")), F.col("content")), words=3, threshold=0.6)
 
 
