@@ -12,7 +12,7 @@ from seismark.llm.pagelines import checked_broadcast
 from seismark.llm.packing import pack_documents, packing_report
 from seismark.llm.placenames import map_label_places
 from seismark.llm.residue import page_verdicts, residue_pages
-from seismark.llm.subjects import document_subjects, fit_subjects
+from seismark.llm.subjects import document_subjects, fit_subjects, tokenised
 from seismark.llm.survivors import Field, surviving_records, survivors
 from seismark.llm.tokens import token_counts
 from seismark.operators.instants import normalise_instants
@@ -83,9 +83,9 @@ def p4_voted(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
-    documents = read_table(spark, folder, "documents", "doc_id", "text")
-    names, weights = fit_subjects(documents, "text", read_table(spark, folder, "subject_examples"), "subject", "text")
-    return document_subjects(documents, "doc_id", "text", names, weights).select("doc_id", "subject")
+    terms = tokenised(read_table(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    names, weights = fit_subjects(terms, read_table(spark, folder, "subject_examples"), "subject", "text")
+    return document_subjects(terms, names, weights).select(F.col("document").alias("doc_id"), "subject")
 
 
 #: Tokens of a container.

@@ -9,7 +9,6 @@ over all sentences sharpens the weights. A document's subjects are those that a
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,17 +18,19 @@ from pyspark.ml.feature import IDF, HashingTF, Normalizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seismark.session import cut_lineage
+from seismark.session import written
 
 #: Hashed terms (the bound on everything that is sent to all tasks), leaves, and rounds of each split.
 TERMS, LEAVES, ROUNDS = 1 << 15, 48, 6
 #: Labelled texts are a bounded input: at most so many are read.
 LABELLED_TEXTS = 20_000
-#: In each counting pass a sentence is taken to be about a subject from the first score on, by two strong terms, and about
-#: none below the second; the first pass scores by labelled texts and leaves, the later ones by the counts before them.
-PASSES = ((4.0, 3.0), (14.0, 10.0), (12.0, 8.0))
-#: Log-odds by which a sentence must favour a subject over none.
-LEAD = 6.0
+#: First counting pass, by labelled texts and leaves: a sentence is about a subject from the first score on, by two terms
+#: that weigh STRONG, and about none below the second.
+FIRST, STRONG = (4.0, 3.0), 1.0
+#: Later passes score by the counts before them, as shares of what the sentences of a subject score on average.
+LATER = ((0.5, 0.35), (0.45, 0.3))
+#: Share of that average by which a sentence must favour a subject over none in the end.
+LEAD = 0.2
 
 _TERM = re.compile(r"[^\W\d_][\w'’-]*[^\W_]")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”’')\]]*\s+|\n+")
@@ -52,8 +53,38 @@ class _TermIds(dict):
         return self[term]
 
 
-def sentence_terms(sentence: str, ids: _TermIds) -> list[int]:
-    return list({ids[t] for t in _TERM.findall(sentence.lower())})
+def text_terms(text: str, ids: _TermIds) -> tuple[list[int], list[int]]:
+    """Hashed terms of a text, sentence by sentence and each once per sentence, and their number in each sentence."""
+    flat: list[int] = []
+    lengths = []
+    for sentence in sentences(text.lower()):
+        terms = set(map(ids.__getitem__, _TERM.findall(sentence)))
+        flat += terms
+        lengths.append(len(terms))
+    return flat, lengths
+
+
+def tokenised(documents: DataFrame, document: str, text: str) -> DataFrame:
+    """document, ids, lengths: the terms of every sentence of a document, written down once for all passes."""
+
+    def tokenise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids = _TermIds()
+        for batch in batches:
+            both = [text_terms(x, ids) for x in batch["text"]]
+            yield pd.DataFrame({"document": batch["document"], "ids": [x[0] for x in both], "lengths": [x[1] for x in both]})
+
+    rows = documents.select(F.col(document).cast("bigint").alias("document"), F.col(text).alias("text")).where("text IS NOT NULL")
+    return written(rows.mapInPandas(tokenise, "document bigint, ids array<int>, lengths array<int>").where(F.size("lengths") > 0))
+
+
+def sentence_scores(batch: pd.DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of all sentences of a batch: their terms in one row, the sentence of each term, the scores, the document's place."""
+    flat = np.concatenate(batch["ids"].tolist())
+    lengths = np.concatenate(batch["lengths"].tolist())
+    starts = np.cumsum(lengths) - lengths
+    scores = np.add.reduceat(weights[:, flat], starts, axis=1)
+    owner = np.repeat(np.arange(len(batch)), [len(x) for x in batch["lengths"]])
+    return flat, np.repeat(np.arange(len(lengths)), lengths), scores, owner
 
 
 def _log_odds(counts: np.ndarray, sizes: np.ndarray, smooth: float) -> np.ndarray:
@@ -66,31 +97,23 @@ def _log_odds(counts: np.ndarray, sizes: np.ndarray, smooth: float) -> np.ndarra
 
 def _bounded_table(rows: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
     """(class, term, n) as counts per class and term, and the sizes that stand under term -1: a table of fixed size."""
+    table = rows.groupBy("class", "term").agg(F.sum("n").alias("n")).toPandas()
     counts, sizes = np.zeros((classes, TERMS)), np.zeros(classes)
-    for row in rows.groupBy("class", "term").agg(F.sum("n").alias("n")).collect():
-        if row["term"] < 0:
-            sizes[row["class"]] = row["n"]
-        else:
-            counts[row["class"], row["term"]] = row["n"]
+    whole = table["term"] < 0
+    sizes[table.loc[whole, "class"]] = table.loc[whole, "n"]
+    counts[table.loc[~whole, "class"], table.loc[~whole, "term"]] = table.loc[~whole, "n"]
     return counts, sizes
 
 
-def _leaf_terms(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+def _leaf_terms(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents per leaf and hashed term, and per leaf, of a bisecting k-means over all documents."""
-
-    def as_terms(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _TermIds()
-        for batch in batches:
-            yield pd.DataFrame({"ids": [[ids[t] for t in _TERM.findall(x.lower())] for x in batch["text"]]})
-
-    terms = texts.mapInPandas(as_terms, "ids array<int>").where(F.size("ids") > 0)
-    counted = cut_lineage(HashingTF(numFeatures=TERMS, inputCol="words", outputCol="counts").transform(terms.withColumn("words", F.col("ids").cast("array<string>"))).select(F.array_distinct("ids").alias("ids"), "counts"))
-    if counted.isEmpty():
+    counted = HashingTF(numFeatures=TERMS, inputCol="words", outputCol="counts").transform(terms.select("ids", F.col("ids").cast("array<string>").alias("words"))).select("ids", "counts")
+    if terms.isEmpty():
         return np.zeros((1, TERMS)), np.zeros(1)
     weighed = IDF(inputCol="counts", outputCol="weighed", minDocFreq=2).fit(counted).transform(counted)
     vectors = Normalizer(inputCol="weighed", outputCol="features").transform(weighed).select("ids", "features")
     model = BisectingKMeans(k=LEAVES, maxIter=ROUNDS, seed=7, featuresCol="features", predictionCol="class").fit(vectors)
-    leaves = model.transform(vectors).select("class", F.explode(F.concat("ids", F.array(F.lit(-1)))).alias("term"), F.lit(1).cast("bigint").alias("n"))
+    leaves = model.transform(vectors).select("class", F.explode(F.concat(F.array_distinct("ids"), F.array(F.lit(-1)))).alias("term"), F.lit(1).cast("bigint").alias("n"))
     return _bounded_table(leaves, LEAVES)
 
 
@@ -105,80 +128,81 @@ def leaf_mixtures(counts: np.ndarray, sizes: np.ndarray, labelled: np.ndarray) -
     return np.where(mixture > 0.25 * mixture.max(initial=1e-9), mixture / np.maximum(1.0, mixture.sum(axis=1, keepdims=True)), 0.0)
 
 
-def fit_subjects(documents: DataFrame, text: str, examples: DataFrame, subject: str, example_text: str) -> tuple[list[str], np.ndarray]:
-    """Names of the subjects and the weight of each hashed term for each of them against no subject."""
-    names = sorted(r[0] for r in examples.select(subject).where(F.col(subject).isNotNull()).distinct().collect())
-    texts = documents.select(F.col(text).alias("text")).where(F.col("text").isNotNull())
+def fit_subjects(terms: DataFrame, examples: DataFrame, subject: str, example_text: str) -> tuple[list[str], np.ndarray]:
+    """Names of the subjects and the weight of each hashed term for each of them against no subject.
+
+    A weight is the term's log-odds over the average score of a subject's sentences.
+
+    ``terms``: the corpus as ``tokenised`` gives it. Examples with a null subject or text are left out.
+    """
+    told = examples.select(F.col(subject).alias("s"), F.col(example_text).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").limit(LABELLED_TEXTS).collect()
+    names = sorted({r["s"] for r in told})
+    if not names:
+        return [], np.zeros((0, TERMS))
     ids, seen, seen_sizes = _TermIds(), np.zeros((len(names), TERMS)), np.zeros(len(names))
-    for row in examples.select(F.col(subject).alias("s"), F.col(example_text).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").limit(LABELLED_TEXTS).collect():
-        for sentence in sentences(row["t"]):
-            seen[names.index(row["s"]), sentence_terms(sentence, ids)] += 1
-            seen_sizes[names.index(row["s"])] += 1
+    for row in told:
+        flat, lengths = text_terms(row["t"], ids)
+        np.add.at(seen[names.index(row["s"])], flat, 1)
+        seen_sizes[names.index(row["s"])] += len(lengths)
     labelled = _log_odds(seen, seen_sizes, 0.5)
-    counts, sizes = _leaf_terms(texts)
+    counts, sizes = _leaf_terms(terms)
     mixtures = leaf_mixtures(counts, sizes, labelled)
     of_subject = np.vstack([mixtures.T @ counts, (1 - mixtures.sum(axis=1)) @ counts])
     subject_sizes = np.append(mixtures.T @ sizes, (1 - mixtures.sum(axis=1)) @ sizes)
     from_leaves = _log_odds(of_subject, subject_sizes, 2.0)[:-1]
     # A term enters by its labelled texts if two sentences hold it, else by the leaves it favours, and more weakly.
-    told = (labelled >= 1.5) & (seen >= 2)
-    weights = np.where(told, labelled, np.where((from_leaves > 1.0) & (seen.sum(axis=0) < 2), np.minimum(from_leaves, 1.5), 0.0))
+    known = (labelled >= 1.5) & (seen >= 2)
+    weights = np.where(known, labelled, np.where((from_leaves > 1.0) & (seen.sum(axis=0) < 2), np.minimum(from_leaves, 1.5), 0.0))
 
-    for sure, unsure in PASSES:
-        shared = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    strong_from = STRONG
+    for sure, unsure in (FIRST, *LATER):
+        shared = terms.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
-        def count_sentences(batches: Iterator[pd.DataFrame], shared=shared, sure=sure, unsure=unsure) -> Iterator[pd.DataFrame]:
-            ids, total = _TermIds(), Counter()
+        def count_sentences(batches: Iterator[pd.DataFrame], shared=shared, sure=sure, unsure=unsure, strong_from=strong_from) -> Iterator[pd.DataFrame]:
+            weights, total, sizes = shared.value, np.zeros((len(names) + 1, TERMS), dtype=np.int64), np.zeros(len(names) + 1, dtype=np.int64)
             for batch in batches:
-                for value in batch["text"]:
-                    for sentence in sentences(value):
-                        terms = sentence_terms(sentence, ids)
-                        score = shared.value[:, terms].sum(axis=1)
-                        order = np.argsort(score)
-                        best, second = score[order[-1]], score[order[-2]] if len(order) > 1 else 0.0
-                        strong = int((shared.value[order[-1], terms] >= 1.0).sum())
-                        if strong >= 2 and best >= sure and best - second >= sure / 2:
-                            label = int(order[-1])
-                        elif best < unsure and (strong <= 1 or sure > PASSES[0][0]):
-                            label = len(names)
-                        else:
-                            continue
-                        total[label, -1] += 1
-                        total.update((label, t) for t in terms)
-            yield pd.DataFrame([(a, b, n) for (a, b), n in total.items()], columns=["class", "term", "n"])
-
-        counts, sizes = _bounded_table(texts.mapInPandas(count_sentences, "class int, term int, n bigint"), len(names) + 1)
+                flat, sentence, scores, _ = sentence_scores(batch, weights)
+                best = scores.argmax(axis=0)
+                top = scores.max(axis=0)
+                second = np.partition(scores, -2, axis=0)[-2] if len(names) > 1 else np.zeros_like(top)
+                strong = np.bincount(sentence, weights=weights[best[sentence], flat] >= strong_from, minlength=len(top))
+                label = np.where((strong >= 2) & (top >= sure) & (top - second >= sure / 2), best, -1)
+                label = np.where((label < 0) & (top < unsure) & ((strong <= 1) | (sure != FIRST[0])), len(names), label)
+                used = label[sentence] >= 0
+                np.add.at(total, (label[sentence][used], flat[used]), 1)
+                np.add.at(sizes, label[label >= 0], 1)
+            at = np.nonzero(total)
+            yield pd.DataFrame({"class": [*at[0], *range(len(sizes))], "term": [*at[1], *[-1] * len(sizes)], "n": [*total[at], *sizes]})
+
+        counts, sizes = _bounded_table(terms.select("ids", "lengths").mapInPandas(count_sentences, "class int, term int, n bigint"), len(names) + 1)
         inside = (counts[:-1] + 0.3) / (sizes[:-1, None] + 0.6)
         none = (counts[-1] + 0.3) / (sizes[-1] + 0.6)
-        enough = counts.sum(axis=0) >= 4
-        weights = np.where(enough, np.clip(np.log(inside / none), -3.0, 5.0), np.where(labelled >= 0.7, labelled, 0.0))
+        weights = np.where(counts.sum(axis=0) >= 4, np.clip(np.log(inside / none), -3.0, 5.0), np.where(labelled >= 0.7, labelled, 0.0))
+        average = max(1e-9, (counts[:-1] * weights).sum() / max(1.0, sizes[:-1].sum()))
+        weights, strong_from = weights / average, STRONG / average
     return names, weights
 
 
-def document_subjects(documents: DataFrame, document: str, text: str, names: list[str], weights: np.ndarray, least_share: float = 1 / 3) -> DataFrame:
+def document_subjects(terms: DataFrame, names: list[str], weights: np.ndarray, least_share: float = 1 / 3) -> DataFrame:
     """document, subject, share: every subject that at least ``least_share`` of a document's sentences is about.
 
     Documents without a sentence, null or empty, have no subject; neither have any if there are no labelled texts.
-    Repeated rows of a document come out once. A sentence counts for one subject at most, the one it leads by.
+    Repeated rows of a document come out once. A sentence counts for one subject at most, the one it leads by; ties
+    between subjects count for the first by name.
     """
     if not names:
-        return documents.sparkSession.createDataFrame([], f"{document} bigint, subject string, share double")
-    shared = documents.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+        return terms.sparkSession.createDataFrame([], "document bigint, subject string, share double")
+    shared = terms.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ids = _TermIds()
         for batch in batches:
-            out = []
-            for key, value in zip(batch["document"], batch["text"]):
-                about, found = np.zeros(len(names)), sentences(value)
-                for sentence in found:
-                    score = shared.value[:, sentence_terms(sentence, ids)].sum(axis=1)
-                    best = int(score.argmax())
-                    others = np.delete(score, best)
-                    if score[best] >= LEAD and (not len(others) or score[best] > others.max()):
-                        about[best] += 1
-                out += [(key, names[k], about[k] / len(found)) for k in np.flatnonzero(about >= least_share * len(found) - 1e-9) if about[k]]
-            yield pd.DataFrame(out, columns=["document", "subject", "share"])
-
-    rows = documents.select(F.col(document).cast("bigint").alias("document"), F.col(text).alias("text")).where("document IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInPandas(judge, "document bigint, subject string, share double").groupBy(F.col("document").alias(document), "subject").agg(F.max("share").alias("share"))
+            _, _, scores, owner = sentence_scores(batch, shared.value)
+            about = np.zeros((len(batch), len(names)))
+            lead = scores.max(axis=0) >= LEAD
+            np.add.at(about, (owner[lead], scores.argmax(axis=0)[lead]), 1)
+            share = about / np.bincount(owner, minlength=len(batch))[:, None]
+            row, k = np.nonzero((share >= least_share - 1e-9) & (about > 0))
+            yield pd.DataFrame({"document": batch["document"].to_numpy()[row], "subject": [names[x] for x in k], "share": share[row, k]})
+
+    judged = terms.where("document IS NOT NULL").mapInPandas(judge, "document bigint, subject string, share double")
+    return judged.groupBy("document", "subject").agg(F.max("share").alias("share"))
