@@ -13,11 +13,12 @@ from seismark.operators import events as ev
 from seismark.operators import ingest, models, sentiment, stocks
 from seismark.operators.dataset import ArticleSet, distributions, strict_date
 from seismark.operators.gazetteer import gazetteer, places_in
-from seismark.session import cut_lineage
+from seismark.session import broadcast_if_small, cut_lineage
 from seismark.sources import read_table
 from seismark.streaming.sessions import drain, file_stream, gap_sessions
 
-FEEDS: dict[str, float] = {"pandemic": 0.5, "stock market crash": 5.0}
+# How much more or less often than others a search term's strata are sampled.
+TERM_WEIGHTS: dict[str, float] = {"pandemic": 0.5, "stock market crash": 5.0}
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
@@ -111,13 +112,15 @@ def url_keep_first(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def month_task_grid(spark: SparkSession, folder: str) -> DataFrame:
-    """Fetch tasks of country, search term and month that no link has come from yet. The grid spans two short vocabularies and the months."""
+    """Fetch tasks of country, search term and month that no link has come from yet.
+
+    The grid spans the months and two vocabularies, of which one row holds the distinct words.
+    """
     links = read_table(spark, folder, "links", "country", "query", "date").select("country", "query", F.to_date(F.try_to_timestamp("date", F.lit("yyyyMMdd'T'HHmmss'Z'"))).alias("day"))
-    span = links.agg(F.min("day").alias("lo"), F.max("day").alias("hi"))
-    months = span.select(F.explode(ingest.month_tasks(F.col("lo"), F.col("hi"), F.col("hi"))).alias("m")).select("m.*")
-    countries, terms = links.select("country").where("country IS NOT NULL").distinct(), links.select("query").where("query IS NOT NULL").distinct()
+    span = links.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.collect_set("country").alias("countries"), F.collect_set("query").alias("terms"))
+    grid = span.select("countries", "terms", F.explode(ingest.month_tasks(F.col("lo"), F.col("hi"), F.col("hi"))).alias("m")).select("m.*", "terms", F.explode("countries").alias("country"))
+    grid = grid.select("month_start", "month_end", "country", F.explode("terms").alias("query"))
     done = links.select("country", "query", F.to_date(F.trunc("day", "month")).alias("month_start")).distinct()
-    grid = F.broadcast(countries).crossJoin(F.broadcast(terms)).crossJoin(F.broadcast(months))
     return grid.join(done, ["country", "query", "month_start"], "left_anti").select("country", "query", "month_start", "month_end")
 
 
@@ -132,7 +135,7 @@ _STRATA_SQL = """
 def _strata(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     links = read_table(spark, folder, "links").where(F.col("country") == "US").withColumn("month", F.substring("date", 1, 6))
     weight = F.lit(1.0)
-    for term, value in FEEDS.items():
+    for term, value in TERM_WEIGHTS.items():
         weight = F.when(F.col("query") == term, value).otherwise(weight)
     return links, ingest.strata_sample_sizes(links, ["query", "month"], weight, 500)
 
@@ -330,7 +333,7 @@ def soft_compare_acc(spark: SparkSession, folder: str) -> DataFrame:
 def gazetteer_extract(spark: SparkSession, folder: str) -> DataFrame:
     """Places of each article's title; of its content only where the title names none."""
     articles = read_table(spark, folder, "articles", "index_id", "title", "content").dropDuplicates(["index_id"])
-    names = cut_lineage(gazetteer(read_table(spark, folder, "places"), read_table(spark, folder, "countries")))
+    names = broadcast_if_small(cut_lineage(gazetteer(read_table(spark, folder, "places"), read_table(spark, folder, "countries"))), 200_000)
     titled = cut_lineage(places_in(articles, "index_id", "title", names))
     rest = articles.join(titled.select("index_id").distinct(), "index_id", "left_anti")
     return titled.unionByName(places_in(rest, "index_id", "content", names)).select("index_id", "kind", "name", "country").distinct()

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "seismark", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,3 +44,8 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{_shared_folder(df)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(table: DataFrame, bound: int) -> DataFrame:
+    """A checkpointed table, marked for broadcast once its row count is known to be within the bound."""
+    return F.broadcast(table) if table.count() <= bound else table
