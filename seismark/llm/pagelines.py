@@ -8,6 +8,8 @@ stand inside it.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from seismark.session import cut_lineage, written
 PARAGRAPH, MASKED = 140, 200
 #: Share of all pages, and of a host's pages, from which a full sentence counts as furniture; least number of lines of a key.
 GLOBAL_SHARE, HOST_SHARE, LEAST = 0.008, 0.1, 3
+#: The same for a full sentence as long as a paragraph, per host only.
+HOST_SHARE_LONG, LEAST_LONG = 0.3, 10
 #: Share of a key's lines inside reports from which it belongs to them.
 INSIDE_SHARE = 0.45
 #: Share of a message's lines on pages with a report up to which it is a message page's own.
@@ -110,14 +114,17 @@ def line_verdicts(lines: DataFrame, pages: DataFrame, host: str) -> tuple[DataFr
     partial counts per task.
     """
     count = lambda c: F.sum(F.col(c).cast("bigint"))
-    per_host = lines.groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"), count("inside").alias("inside"), count("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"))
+    per_host = lines.groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"), count("inside").alias("inside"), count("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max(F.col("chars") > PARAGRAPH).alias("long"))
     host_pages = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
     hosts = checked_broadcast(cut_lineage(host_pages))
     total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    share = F.when(F.col("n") >= LEAST, F.col("n") / F.col("pages"))
-    keys = per_host.join(hosts, "host", "left").groupBy("key").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max(share).alias("host_share"))
-    keys = cut_lineage(keys.select("key", "leaf", "n", "anchored", "sentence", "host_share", F.coalesce(F.try_divide("inside", "anchored"), F.lit(0.0)).alias("inside_share")))
-    recurs = (F.col("n") >= F.greatest(F.lit(LEAST), F.lit(GLOBAL_SHARE * total))) | (F.coalesce("host_share", F.lit(0.0)) >= HOST_SHARE)
+    # A paragraph that a few copies of one report share is not furniture: it takes many pages of a host.
+    share = F.when(~F.col("long") & (F.col("n") >= LEAST), F.col("n") / F.col("pages")).when(F.col("n") >= LEAST_LONG, F.col("n") / F.col("pages") * HOST_SHARE / HOST_SHARE_LONG)
+    keys = per_host.join(hosts, "host", "left").groupBy("key").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max("long").alias("long"), F.max(share).alias("host_share"))
+    keys = cut_lineage(keys.select("key", "leaf", "n", "long", "anchored", "sentence", "host_share", F.coalesce(F.try_divide("inside", "anchored"), F.lit(0.0)).alias("inside_share")))
+    # Twice the spread of a count at the limit keeps chance repeats out of small corpora.
+    enough = max(LEAST, GLOBAL_SHARE * total + 2 * math.sqrt(GLOBAL_SHARE * total))
+    recurs = (~F.col("long") & (F.col("n") >= enough)) | (F.coalesce("host_share", F.lit(0.0)) >= HOST_SHARE)
     furniture = F.when(F.col("sentence"), recurs & (F.col("inside_share") < INSIDE_SHARE)).otherwise(F.col("inside_share") < INSIDE_SHARE)
     of_keys = keys.where((F.col("n") >= LEAST) & (~F.col("sentence") | furniture)).select("key", furniture.alias("furniture"))
     leaves = keys.where(F.col("leaf").isNotNull() & F.col("sentence")).groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("anchored").alias("anchored"))
