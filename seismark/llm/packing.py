@@ -167,7 +167,7 @@ def pack_documents(sized: DataFrame, document: str, tokens: str, capacity: int,
     ``capacity``. Null and empty documents take no room and have a null container. Repeated rows are documents of their
     own; equal sizes are interchangeable; an empty table gives no rows.
     """
-    base = sized.select(F.col(document).alias("document"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("size"), F.monotonically_increasing_id().alias("row"))
+    base = sized.select(F.col(document).alias("document"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("size"))
     whole = F.floor(F.col("size") / capacity)
     parts = base.select("document", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("part"))
     items = cut_lineage(parts.select("document", F.col("part").cast("int").alias("part"), F.when(F.col("part") < whole, F.lit(capacity)).otherwise(F.col("size") - whole * capacity).cast("bigint").alias("tokens")))
