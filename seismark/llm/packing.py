@@ -9,7 +9,6 @@ groups in parallel, and packs what the groups left in unfilled containers once m
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,8 +19,8 @@ from seismark.session import cut_lineage
 
 #: Tokens dealt to one group; at least so much of a container must be filled for it to stay as the first packing left it.
 GROUP_TOKENS, KEPT_FILL = 1_000_000, 0.995
-#: Fillings tried beside one largest document, and containers built in all before the best known packing is taken.
-FILLINGS, NODES = 12, 6_000
+#: Fillings tried beside one largest document, and containers built beyond one full packing before the best known is taken.
+FILLINGS, NODES = 12, 400
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -46,7 +45,7 @@ def _fillings(held: np.ndarray, lengths: list[int], room: int, most: int) -> lis
     held[n] is the number of documents of length n left, lengths the distinct ones in ascending order.
     """
     found: list[tuple[int, list[int]]] = []
-    budget = 400
+    budget = 400 if most == 1 else 120
 
     def extend(left: int, largest: int, chosen: list[int]) -> None:
         nonlocal budget
@@ -99,29 +98,41 @@ def complete_bins(sizes: list[int], capacity: int, nodes: int = NODES) -> list[l
         held[n] = len(items)
     lengths = sorted(of_length)
 
-    def choices() -> tuple[int, list[tuple[int, list[int]]]]:
+    def largest_left() -> int:
         k = len(lengths) - 1
         while k >= 0 and not held[lengths[k]]:
             k -= 1
-        if k < 0:
-            return 0, []
-        largest = lengths[k]
+        return lengths[k] if k >= 0 else 0
+
+    def options_beside(largest: int, most: int) -> list[tuple[int, list[int]]]:
         held[largest] -= 1
-        options = _fillings(held, lengths, capacity - largest, FILLINGS)
+        options = _fillings(held, lengths, capacity - largest, most)
         held[largest] += 1
-        return largest, options
+        return options
 
-    # A stack of containers: the lengths in each, its waste, and the fillings not yet tried beside its largest document.
-    stack: list[list] = []
+    # A stack of containers: their lengths, waste, largest document, and the fillings not yet tried beside it. The first
+    # filling is sought alone; the others are enumerated only if the search comes back for them.
+    stack: list[tuple] = []
     wasted, placed, used = 0, 0, 0
     solution: list[list[int]] | None = None
-    bound = len(best)
-    largest, options = choices()
-    pending = (largest, options)
+    bound, nodes = len(best), nodes + len(best)
+
+    def undo() -> tuple[int, list, bool]:
+        nonlocal wasted, placed
+        content, waste, largest, rest, whole = stack.pop()
+        for n in content:
+            held[n] += 1
+        wasted, placed = wasted - waste, placed - len(content)
+        return largest, rest, whole
+
+    largest = largest_left()
+    options, whole = options_beside(largest, 1), False
     while used < nodes:
-        largest, options = pending
         chosen = None
-        while options:
+        while options or not whole:
+            if not options:
+                options, whole = options_beside(largest, FILLINGS)[1:], True
+                continue
             waste, filling = options.pop(0)
             if -(-(total + wasted + waste) // capacity) < bound or placed + len(filling) + 1 == len(sizes):
                 chosen = (waste, filling)
@@ -129,31 +140,25 @@ def complete_bins(sizes: list[int], capacity: int, nodes: int = NODES) -> list[l
         if chosen is None:
             if not stack:
                 break
-            content, waste, rest, largest = stack.pop()
-            for n in content:
-                held[n] += 1
-            wasted, placed = wasted - waste, placed - len(content)
-            pending = (largest, rest)
+            used += 1
+            largest, options, whole = undo()
             continue
         used += 1
         waste, filling = chosen
         content = [largest, *filling]
         for n in content:
             held[n] -= 1
-        stack.append([content, waste, options, largest])
+        stack.append((content, waste, largest, options, whole))
         wasted, placed = wasted + waste, placed + len(content)
         if placed == len(sizes):
             if len(stack) < bound:
                 solution, bound = [x[0] for x in stack], len(stack)
             if bound <= least:
                 break
-            content, waste, rest, largest = stack.pop()
-            for n in content:
-                held[n] += 1
-            wasted, placed = wasted - waste, placed - len(content)
-            pending = (largest, rest)
+            largest, options, whole = undo()
             continue
-        pending = choices()
+        largest = largest_left()
+        options, whole = options_beside(largest, 1), False
     if solution is None:
         return best
     left = {n: list(items) for n, items in of_length.items()}
