@@ -1,14 +1,15 @@
 """Documents into containers of a fixed number of tokens, by bin completion.
 
-Containers are filled around the largest document left: fillings of the room beside it are enumerated, those dominated by
-fewer and larger documents last; partial solutions whose waste rules out fewer containers than the best known are given
-up. A best-fit packing is the first incumbent. Spark deals the documents out to groups of bounded token totals, packs the
+Containers are filled around the largest document left: the undominated fillings of the room beside it are enumerated one
+by one; partial solutions whose waste rules out fewer containers than the best known are given up. A best-fit packing is the first incumbent. Spark deals the documents out to groups of bounded token totals, packs the
 groups in parallel, and packs what the groups left in unfilled containers once more among itself.
 """
 
 from __future__ import annotations
 
 import bisect
+from collections.abc import Callable, Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -19,8 +20,10 @@ from seismark.session import cut_lineage
 
 #: Tokens dealt to one group; at least so much of a container must be filled for it to stay as the first packing left it.
 GROUP_TOKENS, KEPT_FILL = 1_000_000, 0.995
-#: Fillings tried beside one largest document, and containers built beyond one full packing before the best known is taken.
-FILLINGS, NODES = 12, 400
+#: Containers built beyond one full packing, and steps of enumeration in all, before the best known packing is taken.
+NODES, STEPS = 6_000, 2_400_000
+#: Fillings tried beside one document in the passes of the search, each with those limits; the last tries all undominated ones.
+WIDTHS = (2, 12, None)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -39,64 +42,81 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def _fillings(held: np.ndarray, lengths: list[int], room: int, most: int) -> list[tuple[int, list[int]]]:
-    """(waste, lengths) of undominated fillings of ``room``, the least waste and the fewest documents first.
+def undominated_fillings(held: list[int], room: int, spend: Callable[[], bool]) -> Iterator[tuple[int, list[int]]]:
+    """(waste, lengths) of every undominated filling of ``room``: the least waste first, then, mostly, the fewest documents.
 
-    held[n] is the number of documents of length n left, lengths the distinct ones in ascending order.
+    held[n] is the number of documents of length n left; it must be the same whenever the next filling is asked for. A
+    filling is dominated if a document outside it fits in the place of some of its documents (of none, of one shorter, of
+    several no longer together). Sets of lengths and of sums are bits of integers. ``spend`` is asked before each step and
+    ends the enumeration by False.
     """
-    found: list[tuple[int, list[int]]] = []
-    budget = 400 if most == 1 else 120
-
-    def extend(left: int, largest: int, chosen: list[int]) -> None:
-        nonlocal budget
-        if budget <= 0 or len([1 for w, _ in found if not w]) >= most:
+    lengths = [n for n in range(1, min(room, len(held) - 1) + 1) if held[n]]
+    free = sum(1 << n for n in lengths)
+    reach = [1]  # sums of documents of the k shortest lengths
+    for n in lengths:
+        sums = reach[-1]
+        for _ in range(min(held[n], room // n)):
+            sums |= sums << n
+        reach.append(sums & ((1 << (room + 1)) - 1))
+
+    def dominated(singles: int, several: int, outside: int, waste: int) -> bool:
+        """Whether a document outside takes the place of one (``singles``) or more documents (``several``, their sums)."""
+        if several & outside:
+            return True
+        spread, width = singles | several, 1  # sums and up to waste - 1 more
+        while width < waste:
+            step = min(width, waste - width)
+            spread, width = spread | spread << step, width + step
+        return bool(waste and (spread << 1) & outside)
+
+    def extend(left: int, largest: int, chosen: list[int], singles: int, several: int, outside: int, waste: int, least: int) -> Iterator[list[int]]:
+        """Fillings that add at least ``least`` documents of up to ``largest`` tokens, ``left`` together."""
+        if not spend():
             return
-        budget -= 1
-        top = bisect.bisect_right(lengths, min(left, largest)) - 1
-        while top >= 0 and held[lengths[top]] - chosen.count(lengths[top]) <= 0:
-            top -= 1
-        if top < 0:
-            found.append((left, chosen))
+        if outside >> left & ((1 << (waste + 1)) - 1):
+            # One document outside, of that length or of up to waste more, takes the place of several that could be added.
+            if least <= 1 and left <= largest and outside >> left & 1:
+                yield from add([left], 0, chosen, singles, several, outside, waste)
             return
-        if left <= largest and left < len(held) and held[left] - chosen.count(left) > 0:
-            found.append((0, [*chosen, left]))
+        top = bisect.bisect_right(lengths, min(left, largest))
+        for a in reversed(lengths[bisect.bisect_left(lengths, (left + 1) // 2) : top]):
+            if a < left and outside >> a & 1 and outside >> (left - a) & 1 and (2 * a != left or held[a] - chosen.count(a) > 1):
+                yield from add([a, left - a], 0, chosen, singles, several, outside, waste)
+        for k in range(top - 1, -1, -1):
+            if not reach[k + 1] >> left & 1:
+                return
+            if outside >> lengths[k] & 1 and reach[k + 1] >> (left - lengths[k]) & 1:
+                yield from add([lengths[k]], left - lengths[k], chosen, singles, several, outside, waste)
+
+    def add(more: list[int], left: int, chosen: list[int], singles: int, several: int, outside: int, waste: int) -> Iterator[list[int]]:
+        for a in more:
+            several, singles = several | (singles | several) << a, singles | 1 << a
+            chosen = [*chosen, a]
+            if held[a] == chosen.count(a):
+                outside &= ~(1 << a)
+        if not spend() or dominated(singles, several, outside, waste):
             return
-        low = bisect.bisect_left(lengths, (left + 1) // 2)
-        for k in range(top, low - 1, -1):  # two documents that fill the room
-            a, b = lengths[k], left - lengths[k]
-            if 0 < b <= a and held[b] - chosen.count(b) - (a == b) > 0 and held[a] - chosen.count(a) > 0:
-                found.append((0, [*chosen, a, b]))
-                if len(found) >= most:
-                    return
-                break
-        tried = 0
-        for k in range(top, -1, -1):
-            a = lengths[k]
-            if held[a] - chosen.count(a) > 0:
-                extend(left - a, a, [*chosen, a])
-                tried += 1
-                if tried >= 6 or budget <= 0:
-                    return
+        if left:
+            yield from extend(left, chosen[-1], chosen, singles, several, outside, waste, 2)
+        elif not outside & ((1 << (waste + 1)) - 1):
+            yield chosen
 
-    extend(room, room, [])
-    distinct = {tuple(c): (w, c) for w, c in found}
-    return sorted(distinct.values(), key=lambda x: (x[0], len(x[1])))[:most]
+    for waste in range(room + 1):
+        if waste == room and not free:
+            yield waste, []
+        elif waste < room and reach[-1] >> (room - waste) & 1:
+            for filling in extend(room - waste, room, [], 0, 0, free, waste, 1):
+                yield waste, filling
 
 
-def complete_bins(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Indices per container by bin completion; never worse than best fit. Sizes lie in 1..capacity."""
-    best = best_fit(sizes, capacity)
-    total = sum(sizes)
-    least = -(-total // capacity)
-    if len(best) <= least:
-        return best
-    of_length: dict[int, list[int]] = {}
-    for i, n in enumerate(sizes):
-        of_length.setdefault(n, []).append(i)
-    held = np.zeros(capacity + 1, dtype=np.int64)
-    for n, items in of_length.items():
-        held[n] = len(items)
-    lengths = sorted(of_length)
+def _search(held: list[int], lengths: list[int], documents: int, capacity: int, total: int, bound: int, width: int | None, nodes: int, steps: int) -> list[list[int]] | None:
+    """Lengths per container of a packing in fewer than ``bound`` containers, trying ``width`` fillings beside each document."""
+    held, least = list(held), -(-total // capacity)
+
+    def spend() -> bool:
+        nonlocal steps
+        steps -= 1
+        return steps >= 0
 
     def largest_left() -> int:
         k = len(lengths) - 1
@@ -104,61 +124,72 @@ def complete_bins(sizes: list[int], capacity: int, nodes: int = NODES) -> list[l
             k -= 1
         return lengths[k] if k >= 0 else 0
 
-    def options_beside(largest: int, most: int) -> list[tuple[int, list[int]]]:
-        held[largest] -= 1
-        options = _fillings(held, lengths, capacity - largest, most)
-        held[largest] += 1
-        return options
-
-    # A stack of containers: their lengths, waste, largest document, and the fillings not yet tried beside it. The first
-    # filling is sought alone; the others are enumerated only if the search comes back for them.
+    def options_beside(largest: int) -> Iterator[tuple[int, list[int]]]:
+        options = islice(undominated_fillings(held, capacity - largest, spend), width)
+        while True:
+            held[largest] -= 1
+            option = next(options, None)
+            held[largest] += 1
+            if option is None:
+                return
+            yield option
+
+    # A stack of containers: their lengths, waste, largest document, and the fillings not yet tried beside it. Fillings are
+    # enumerated one by one, as far as the search comes back for them.
     stack: list[tuple] = []
     wasted, placed, used = 0, 0, 0
     solution: list[list[int]] | None = None
-    bound, nodes = len(best), nodes + len(best)
-
-    def undo() -> tuple[int, list, bool]:
-        nonlocal wasted, placed
-        content, waste, largest, rest, whole = stack.pop()
-        for n in content:
-            held[n] += 1
-        wasted, placed = wasted - waste, placed - len(content)
-        return largest, rest, whole
-
-    largest = largest_left()
-    options, whole = options_beside(largest, 1), False
-    while used < nodes:
-        chosen = None
-        while options or not whole:
-            if not options:
-                options, whole = options_beside(largest, FILLINGS)[1:], True
-                continue
-            waste, filling = options.pop(0)
-            if -(-(total + wasted + waste) // capacity) < bound or placed + len(filling) + 1 == len(sizes):
-                chosen = (waste, filling)
-                break
-        if chosen is None:
+    options = options_beside(largest := largest_left())
+    while used < nodes and steps > 0:
+        waste, filling = next(options, (0, None))
+        if filling is None or -(-(total + wasted + waste) // capacity) >= bound:
+            # The fillings that follow waste as much or more.
             if not stack:
                 break
-            used += 1
-            largest, options, whole = undo()
+            content, waste, largest, options = stack.pop()
+            for n in content:
+                held[n] += 1
+            wasted, placed = wasted - waste, placed - len(content)
             continue
         used += 1
-        waste, filling = chosen
         content = [largest, *filling]
         for n in content:
             held[n] -= 1
-        stack.append((content, waste, largest, options, whole))
+        stack.append((content, waste, largest, options))
         wasted, placed = wasted + waste, placed + len(content)
-        if placed == len(sizes):
-            if len(stack) < bound:
-                solution, bound = [x[0] for x in stack], len(stack)
+        if placed == documents:
+            solution, bound = [x[0] for x in stack], len(stack)
             if bound <= least:
                 break
-            largest, options, whole = undo()
+            options = iter(())
             continue
-        largest = largest_left()
-        options, whole = options_beside(largest, 1), False
+        options = options_beside(largest := largest_left())
+    return solution
+
+
+def complete_bins(sizes: list[int], capacity: int, nodes: int = NODES, steps: int = STEPS) -> list[list[int]]:
+    """Indices per container by bin completion; never worse than best fit. Sizes lie in 1..capacity."""
+    best = best_fit(sizes, capacity)
+    total = sum(sizes)
+    least = -(-total // capacity)
+    if len(best) <= least:
+        return best
+    of_length: dict[int, list[int]] = {}
+    for i, n in enumerate(sizes):
+        of_length.setdefault(n, []).append(i)
+    held = [0] * (capacity + 1)
+    for n, items in of_length.items():
+        held[n] = len(items)
+    lengths = sorted(of_length)
+
+    solution, bound = None, len(best)
+    # Few fillings a container spread the search over many containers; the last pass is held to none.
+    for width in WIDTHS:
+        found = _search(held, lengths, len(sizes), capacity, total, bound, width, nodes + len(best), steps)
+        if found is not None:
+            solution, bound = found, len(found)
+        if bound <= least:
+            break
     if solution is None:
         return best
     left = {n: list(items) for n, items in of_length.items()}

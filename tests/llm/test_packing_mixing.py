@@ -7,7 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from seismark.llm.mixing import mix_report, mix_sources
-from seismark.llm.packing import best_fit, complete_bins, pack_documents, packing_report
+from seismark.llm.packing import best_fit, complete_bins, pack_documents, packing_report, undominated_fillings
 from seismark.llm.tokens import TOKENIZER_FILE, token_counts
 
 
@@ -39,6 +39,30 @@ def test_bin_completion_beats_best_fit_where_it_can():
     assert len(complete_bins(sizes, 100)) <= len(best_fit(sizes, 100))
 
 
+def holds(filling, other):
+    """Whether the documents of ``other`` can be put into those of ``filling`` as containers."""
+
+    def put(k, rooms):
+        return k == len(other) or any(room >= other[k] and put(k + 1, [*rooms[:j], room - other[k], *rooms[j + 1 :]]) for j, room in enumerate(rooms))
+
+    return put(0, list(filling))
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 12), max_size=8), st.integers(1, 25))
+def test_fillings_are_all_undominated_ones(sizes, room):
+    fitting = {tuple(sorted(c)) for n in range(len(sizes) + 1) for c in combinations(sizes, n) if sum(c) <= room}
+    undominated = {b for b in fitting if not any(a != b and holds(a, b) for a in fitting)}
+    found = list(undominated_fillings([sizes.count(n) for n in range(26)], room, lambda: True))
+    assert sorted(tuple(sorted(f)) for _, f in found) == sorted(undominated)
+    assert [w for w, _ in found] == sorted(room - sum(f) for _, f in found)
+
+
+def test_bin_completion_needs_more_than_the_first_fillings():
+    sizes = [416, 406, 367, 420, 242, 355, 363, 253, 389, 291, 392, 223, 333, 324, 360, 245, 292, 232]
+    assert len(complete_bins(sizes, 1000)) == 6  # the lower bound; 7 with 120 steps, 12 fillings and 6 branches
+
+
 def test_packing_keeps_every_document_whole(spark):
     rows = [(i, 1 + (i * 37) % 300) for i in range(3000)] + [(5000, 2500), (5001, 1000), (5002, 2000), (5003, 0), (5004, None), (7, 12)]
     df = spark.createDataFrame([(i, n, "x") for i, n in rows], "doc bigint, n bigint, container string")
