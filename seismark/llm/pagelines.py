@@ -72,7 +72,11 @@ def page_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
     base = pages.where(content.isNotNull()).select(F.col(page).alias("page"), F.col(host).alias("host"), F.split(content, "\n").alias("lines"), may_fill.alias("may_fill"), may_slot.alias("may_slot"))
     base = base.withColumn("paragraphs", F.transform("lines", lambda x: (F.length(x) > PARAGRAPH) & ~(F.col("may_fill") & is_filler(x))))
     base = base.withColumns({"first": F.array_position("paragraphs", True) - 1, "last": F.size("lines") - F.array_position(F.reverse("paragraphs"), True), "opening": F.array_position(F.transform("lines", lambda x: F.length(F.trim(x, F.lit(_BLANKS))) > 0), True) - 1})
-    lines = base.select("page", "host", "may_fill", "may_slot", "first", "last", "opening", F.posexplode("lines").alias("line_no", "raw"))
+    # The report's hash: of its paragraphs together, so that one of them can be taken out again.
+    digests = F.transform("lines", lambda x, i: F.when(F.get("paragraphs", i), F.xxhash64(F.trim(x, F.lit(_BLANKS)))).otherwise(F.lit(0).cast("bigint")))
+    base = base.withColumn("report", F.when(F.col("first") >= 0, F.aggregate(digests, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))).otherwise(F.xxhash64("page")))
+    lines = base.select("page", "host", "may_fill", "may_slot", "first", "last", "opening", "report", F.posexplode(F.arrays_zip("lines", "paragraphs")).alias("line_no", "of_page"))
+    lines = lines.select("*", F.col("of_page.lines").alias("raw"), F.col("of_page.paragraphs").alias("paragraph")).drop("of_page")
     lines = lines.withColumn("line", F.trim("raw", F.lit(_BLANKS))).where(F.col("line") != "")
     masked = F.when(F.length("line") > MASKED, F.col("line")).when(F.col("may_slot"), F.regexp_replace("line", _SLOT_MASK, "X")).otherwise(F.regexp_replace("line", _MASK, "X"))
     lines = lines.withColumn("masked", masked)
@@ -84,7 +88,8 @@ def page_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
     inside = anchored & (F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last"))
     return lines.select(
         "page", "host", "line_no", F.length("line").alias("chars"), (F.col("line_no") == F.col("opening")).alias("opening"), anchored.alias("anchored"), inside.alias("inside"),
-        F.xxhash64("shape").alias("key"),
+        F.xxhash64("shape").alias("key"), "report",
+        F.when(sentence, F.when(F.col("paragraph"), F.col("report").bitwiseXOR(F.xxhash64("line"))).otherwise(F.col("report"))).alias("beside"),
         F.when(short & F.col("shape").rlike(_LABEL), F.xxhash64(F.regexp_replace("shape", _LABEL, ""))).alias("rest_key"),
         F.when(short & sentence, template_leaf(F.col("shape"))).alias("leaf"),
         (F.col("may_fill") & is_filler(F.col("line"))).alias("filler"),
@@ -107,24 +112,25 @@ def checked_broadcast(table: DataFrame, bound: int = BROADCAST_VERDICTS) -> Data
     return F.broadcast(table) if table.count() <= bound else table
 
 
-def line_verdicts(lines: DataFrame, pages: DataFrame, host: str) -> tuple[DataFrame, DataFrame]:
+def line_verdicts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(key, furniture) of keys with a verdict of their own, and (leaf) of message templates.
 
     Lines are counted per key and host before the hosts meet, so one host or line with a third of all rows is a few
-    partial counts per task.
+    partial counts per task. A sentence recurs as often as different reports stand beside it: copies of one report count
+    once per host, and so do they among the host's pages.
     """
     count = lambda c: F.sum(F.col(c).cast("bigint"))
-    per_host = lines.groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"), count("inside").alias("inside"), count("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max(F.col("chars") > PARAGRAPH).alias("long"))
-    host_pages = pages.groupBy(F.col(host).alias("host")).agg(F.count(F.lit(1)).alias("pages"))
+    per_host = lines.groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"), count("inside").alias("inside"), count("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max(F.col("chars") > PARAGRAPH).alias("long"), F.count_distinct("beside").alias("differing"))
+    host_pages = lines.where("opening").groupBy("host").agg(F.count_distinct("report").alias("pages"))
     hosts = checked_broadcast(cut_lineage(host_pages))
     total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    # A paragraph that a few copies of one report share is not furniture: it takes many pages of a host.
-    share = F.when(~F.col("long") & (F.col("n") >= LEAST), F.col("n") / F.col("pages")).when(F.col("n") >= LEAST_LONG, F.col("n") / F.col("pages") * HOST_SHARE / HOST_SHARE_LONG)
-    keys = per_host.join(hosts, "host", "left").groupBy("key").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside"), F.sum("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max("long").alias("long"), F.max(share).alias("host_share"))
-    keys = cut_lineage(keys.select("key", "leaf", "n", "long", "anchored", "sentence", "host_share", F.coalesce(F.try_divide("inside", "anchored"), F.lit(0.0)).alias("inside_share")))
+    # A paragraph that a few altered copies of one report share is not furniture: it takes many pages of a host.
+    share = F.when(~F.col("long") & (F.col("differing") >= LEAST), F.col("differing") / F.col("pages")).when(F.col("differing") >= LEAST_LONG, F.col("differing") / F.col("pages") * HOST_SHARE / HOST_SHARE_LONG)
+    keys = per_host.join(hosts, "host", "left").groupBy("key").agg(F.sum("n").alias("n"), F.sum("differing").alias("differing"), F.sum("inside").alias("inside"), F.sum("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max("long").alias("long"), F.max(share).alias("host_share"))
+    keys = cut_lineage(keys.select("key", "leaf", "n", "differing", "long", "anchored", "sentence", "host_share", F.coalesce(F.try_divide("inside", "anchored"), F.lit(0.0)).alias("inside_share")))
     # Twice the spread of a count at the limit keeps chance repeats out of small corpora.
     enough = max(LEAST, GLOBAL_SHARE * total + 2 * math.sqrt(GLOBAL_SHARE * total))
-    recurs = (~F.col("long") & (F.col("n") >= enough)) | (F.coalesce("host_share", F.lit(0.0)) >= HOST_SHARE)
+    recurs = (~F.col("long") & (F.col("differing") >= enough)) | (F.coalesce("host_share", F.lit(0.0)) >= HOST_SHARE)
     furniture = F.when(F.col("sentence"), recurs & (F.col("inside_share") < INSIDE_SHARE)).otherwise(F.col("inside_share") < INSIDE_SHARE)
     of_keys = keys.where((F.col("n") >= LEAST) & (~F.col("sentence") | furniture)).select("key", furniture.alias("furniture"))
     leaves = keys.where(F.col("leaf").isNotNull() & F.col("sentence")).groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("anchored").alias("anchored"))
@@ -140,7 +146,7 @@ def judged_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame
     """
     # The text is read once: what both the counts and the verdicts need of a line is written down, without the line.
     lines = written(page_lines(pages, page, host, text))
-    keys, leaves = line_verdicts(lines, pages, host)
+    keys, leaves = line_verdicts(lines)
     rest = keys.select(F.col("key").alias("rest_key"), F.col("furniture").alias("rest_furniture"))
     known = lines.join(keys, "key", "left").join(rest, "rest_key", "left").join(leaves, "leaf", "left")
     furniture = (F.coalesce("furniture", F.lit(False)) | F.coalesce("rest_furniture", F.lit(False)) | (F.col("furniture").isNull() & F.col("alone") & ~F.col("sentence"))) & ~F.col("note")

@@ -50,6 +50,17 @@ def test_cases_and_furniture(spark):
     assert got == furniture
 
 
+def test_copies_of_a_report_are_no_furniture(spark):
+    pages, cases, furniture = build()
+    ends = [f"{end} " + SENTENCE.format("ferry", "Bodø", 31, "quay number 5") + " Nobody was hurt, the mayor said, and the boats will sail again by noon on Sunday." for end in ("First,", "Last,")]
+    copies = [(2000 + i, "h1.example", "\n".join(ends)) for i in range(60)]
+    df = spark.createDataFrame(pages + copies, "index_id bigint, domain string, content string")
+    verdicts = page_verdicts(df, "index_id", "domain", "content")
+    assert {r["page"] for r in residue_pages(verdicts).collect()} == cases
+    got = {(r["page"], k) for r in verdicts.collect() for k in r["furniture_lines"] if r["page"] not in cases}
+    assert got == furniture
+
+
 def test_long_and_empty_input(spark):
     df = spark.createDataFrame([(1, "h", "word " * 200_000), (2, "h", "\n" * 5000)], "i bigint, h string, c string")
     verdicts = page_verdicts(df, "i", "h", "c")
