@@ -59,7 +59,7 @@ def balanced_weights(df: DataFrame, label: str) -> DataFrame:
     return df.join(F.broadcast(sizes), label).crossJoin(F.broadcast(whole)).withColumn("weight", F.col("_rows") / (F.col("_classes") * F.col("_size"))).drop("_size", "_rows", "_classes")
 
 
-def cross_validated_logistic(df: DataFrame, key: str, vector: str, label: str, folds: int = 5, seed: int = 103, most_rounds: int = 100) -> DataFrame:
+def cross_validated_logistic(df: DataFrame, key: str, vector: str, label: str, folds: int = 5, seed: int = 103, most_rounds: int = 1000) -> DataFrame:
     """fold, accuracy, log_loss of a binary logistic regression fitted on the other folds; ``label`` is 0 or 1."""
     rows = df.select(F.col(key), array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias("label"), fold_of(F.col(key).cast("string"), seed, folds).alias("fold"))
     count = rows.count()
@@ -73,14 +73,14 @@ def cross_validated_logistic(df: DataFrame, key: str, vector: str, label: str, f
     return out
 
 
-def forest_predictions(df: DataFrame, key: str, vector: str, label: str, trees: int = 200, seed: int = 12, depth: int = 12) -> DataFrame:
+def forest_predictions(df: DataFrame, key: str, vector: str, label: str, trees: int = 200, seed: int = 12, depth: int = 30) -> DataFrame:
     """key, label, prediction of a class-balanced random forest fitted on the rows without is_test, for those with it."""
     rows = balanced_weights(df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias(label), "is_test"), label)
     model = RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=depth, labelCol=label, weightCol="weight").fit(rows.where("NOT is_test"))
     return model.transform(rows.where("is_test")).select(key, label, "prediction")
 
 
-def balanced_logistic_predictions(df: DataFrame, key: str, vector: str, label: str, most_rounds: int = 100) -> DataFrame:
+def balanced_logistic_predictions(df: DataFrame, key: str, vector: str, label: str, most_rounds: int = 2000) -> DataFrame:
     """As ``forest_predictions``, with a multinomial logistic regression."""
     rows = balanced_weights(df.select(key, array_to_vector(F.col(vector).cast("array<double>")).alias("features"), F.col(label).cast("double").alias(label), "is_test"), label)
     model = LogisticRegression(family="multinomial", maxIter=most_rounds, labelCol=label, weightCol="weight").fit(rows.where("NOT is_test"))

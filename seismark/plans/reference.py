@@ -417,7 +417,7 @@ def _split_vectors(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("rf_impact")
 def rf_impact(spark: SparkSession, folder: str) -> DataFrame:
-    return models.forest_predictions(_split_vectors(spark, folder), "vec_id", "embedding", "label", trees=40, depth=8)
+    return models.forest_predictions(_split_vectors(spark, folder), "vec_id", "embedding", "label", trees=200, depth=30)
 
 
 @query("lr_balanced")

@@ -137,6 +137,19 @@ def test_report_and_models(spark):
     assert got == {"a": (1.0, 0.5, 2), "b": (0.5, 1.0, 1), "c": (1.0, 0.0, 1)}
 
 
+def test_models_run_at_the_size_of_the_reference(spark, monkeypatch):
+    import __spark_entry__ as entry
+
+    passed = {}
+    monkeypatch.setattr(models, "RandomForestClassifier", lambda **given: passed.setdefault("forest", given) and 1 / 0)
+    monkeypatch.setattr(models, "LogisticRegression", lambda **given: passed.setdefault(given.get("family", "binomial"), given) and 1 / 0)
+    for name in ("rf_impact", "cv_logistic", "lr_balanced"):
+        with pytest.raises(ZeroDivisionError):
+            entry.queries()[name](spark, "/root/testdata/sf0.001")
+    assert (passed["forest"]["numTrees"], passed["forest"]["maxDepth"]) == (200, 30)
+    assert (passed["binomial"]["maxIter"], passed["multinomial"]["maxIter"]) == (1000, 2000)
+
+
 def test_files_and_stream(spark, tmp_path):
     links = spark.createDataFrame([("t", "u1", "d", "20200101T000000Z", "US", "flood"), ("t", "u2", "d", "20200101T000000Z", "US", "flood")], files.LINK_SCHEMA)
     files.write_links(links, str(tmp_path / "links"))
