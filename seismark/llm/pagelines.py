@@ -1,9 +1,13 @@
-"""Lines of web pages, their recurrence per site and over all sites, and what that says of each line.
+"""Lines of web pages, their recurrence on each site, and what that says of each line.
 
 The pages reach us as text, so the smallest subtree of a page is a line. Each line is hashed under a key in which names,
-numbers and slots are masked; the keys are counted per host and over all hosts, together with how often they stand
-between paragraphs of a report. Furniture recurs and stands around the report; subheads and bullet points recur and
-stand inside it.
+numbers and slots are masked, and the keys are counted per host. First the full sentences are judged: one that stands
+beside many different reports of its host is furniture. The sentences that are left make up the report, so the other
+lines of a page (menus, teasers, subheads, bullet points) stand inside or around it, and a second count per host
+tells which keys recur around reports. Where a host has seen a key too seldom to tell, the hosts are pooled.
+
+Sentences also fall into the leaves of a fixed-depth prefix tree of message templates. A leaf is classified once, by
+the pages its sentences stand on, and the verdict is carried back to every sentence of the leaf.
 """
 
 from __future__ import annotations
@@ -15,16 +19,20 @@ from pyspark.sql import functions as F
 
 from seismark.session import cut_lineage, written
 
-#: Lines longer than this are paragraphs, which mark where a report begins and ends; longer than ``MASKED`` they are hashed as they are.
-PARAGRAPH, MASKED = 140, 200
-#: Share of all pages, and of a host's pages, from which a full sentence counts as furniture; least number of lines of a key.
-GLOBAL_SHARE, HOST_SHARE, LEAST = 0.008, 0.1, 3
-#: The same for a full sentence as long as a paragraph, per host only.
-HOST_SHARE_LONG, LEAST_LONG = 0.3, 10
-#: Share of a key's lines inside reports from which it belongs to them.
+#: Least number of lines of a key, or of different reports beside a sentence, that say anything.
+LEAST = 3
+#: Share of a host's different reports beside a sentence from which the host calls it furniture, below which it calls it
+#: part of reports; between them the share of all hosts' reports decides, from ``POOLED_SHARE`` on.
+HOST_SHARE, HOST_SHARE_LEAST, POOLED_SHARE = 0.02, 0.001, 0.008
+#: Lines of a key on a host from which its own share inside reports decides, and the shares it must be outside of.
+HOST_LINES, HOST_INSIDE = 10, (0.25, 0.65)
+#: Share of a key's lines inside reports, over all hosts, from which it belongs to them.
 INSIDE_SHARE = 0.45
-#: Share of a message's lines on pages with a report up to which it is a message page's own.
-MESSAGE_SHARE = 0.05
+#: A message template: least share of all pages, share of its pages with much text up to which it is one, and how much
+#: text that is, against the average number of sentences of a page.
+MESSAGE_PAGES, MESSAGE_SHARE, MUCH_TEXT = 3e-5, 0.05, 0.5
+#: Words of a sentence, and of a text without a full stop, from which it counts as one.
+SENTENCE_WORDS, UNSTOPPED_WORDS = 4, 60
 #: Rows of a verdict table that are broadcast (a few bytes each); a larger table is joined by shuffle.
 BROADCAST_VERDICTS = 500_000
 
@@ -44,110 +52,164 @@ _MASK = rf"(?:{_NAME}|\d+(?:[.,:]\d+)*)(?:\s+{_NAME})*"
 _SLOT_MASK = rf"(?:{SURE_SLOTS}|{POSSIBLE_SLOTS}|{_NAME}|\d+(?:[.,:]\d+)*)(?:\s+{_NAME})*"
 _LABEL = r"^(?:X[.)]|[^:.]{1,20}:)\s+"
 _REPORT_NOTE = r"(?i)^(?:correction|clarification|corrected|editor'?s note)\b"
-_SENTENCE_END = r"[.!?][\"”’']?$"
+_SENTENCE_END = r"[.!?。！？؟]['\"”’]?$"
+_BETWEEN_SENTENCES = r"(?<=[.!?。！？؟])[\"”’')\]]*\s+"
 _BLANKS = " \t\r\u00a0"
 _BULLET = r"^[-•*–]"
+#: Filler holds at least one of its longer words, in any case; pages without them are not looked at further.
+_FILLER_MARK = rf"\b(?:{'|'.join(w for w in FILLER_WORDS if len(w) > 4)})\b"
+_FILLER_WORD = rf"\b(?:{'|'.join(FILLER_WORDS)})\b"
+
 
+def is_filler(text: Column) -> Column:
+    """At least 60 % of the words are filler, a longer one among them."""
+    lower = F.lower(text)
+    return lower.rlike(_FILLER_MARK) & (F.regexp_count(lower, F.lit(_FILLER_WORD)) >= 0.6 * F.regexp_count(lower, F.lit("[a-z]+")))
 
-def _filler_share(line: Column) -> Column:
-    lower = F.lower(line)
-    filler = F.size(F.regexp_extract_all(lower, F.lit(rf"\b(?:{'|'.join(FILLER_WORDS)})\b"), F.lit(0)))
-    return filler / F.greatest(F.size(F.regexp_extract_all(lower, F.lit("[a-z]+"), F.lit(0))), F.lit(1))
 
+def _words_in(text: Column) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit(""))) + 1
 
-def is_filler(line: Column) -> Column:
-    """At least two thirds of four words or more are filler."""
-    return (F.length(line) > 20) & (_filler_share(line) >= 0.66)
+
+def template_leaf(sentence: Column) -> Column:
+    """Leaf of a fixed-depth prefix tree over masked sentences: the number of tokens, then the first three tokens."""
+    return F.xxhash64(_words_in(sentence), F.substring_index(sentence, " ", 3))
 
 
 def page_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
-    """One row per non-blank line of each page, with its key and where it stands; pages without text give none."""
+    """One row per non-blank line of each page, with its key and its sentences; pages without text give none.
+
+    ``units`` holds, of each sentence of the line, the leaf of its template and whether it is filler. ``beside`` is a hash
+    of the page's other sentences, for a line that is a sentence.
+    """
     content = F.col(text)
-    may_fill = F.lit(False)
-    for word in ("dolor", "ullamco", "ipsum", "consequat", "eiusmod"):
-        may_fill = may_fill | content.contains(word)
     may_slot = F.lit(False)
     for mark in ("{", "[", "<%", "<<", "@@", "__", "XX", "%"):
         may_slot = may_slot | content.contains(mark)
-    base = pages.where(content.isNotNull()).select(F.col(page).alias("page"), F.col(host).alias("host"), F.split(content, "\n").alias("lines"), may_fill.alias("may_fill"), may_slot.alias("may_slot"))
-    base = base.withColumn("paragraphs", F.transform("lines", lambda x: (F.length(x) > PARAGRAPH) & ~(F.col("may_fill") & is_filler(x))))
-    base = base.withColumns({"first": F.array_position("paragraphs", True) - 1, "last": F.size("lines") - F.array_position(F.reverse("paragraphs"), True), "opening": F.array_position(F.transform("lines", lambda x: F.length(F.trim(x, F.lit(_BLANKS))) > 0), True) - 1})
-    # The report's hash: of its paragraphs together, so that one of them can be taken out again.
-    digests = F.transform("lines", lambda x, i: F.when(F.get("paragraphs", i), F.xxhash64(F.trim(x, F.lit(_BLANKS)))).otherwise(F.lit(0).cast("bigint")))
-    base = base.withColumn("report", F.when(F.col("first") >= 0, F.aggregate(digests, F.lit(0).cast("bigint"), lambda a, x: a.bitwiseXOR(x))).otherwise(F.xxhash64("page")))
-    lines = base.select("page", "host", "may_fill", "may_slot", "first", "last", "opening", "report", F.posexplode(F.arrays_zip("lines", "paragraphs")).alias("line_no", "of_page"))
-    lines = lines.select("*", F.col("of_page.lines").alias("raw"), F.col("of_page.paragraphs").alias("paragraph")).drop("of_page")
-    lines = lines.withColumn("line", F.trim("raw", F.lit(_BLANKS))).where(F.col("line") != "")
-    masked = F.when(F.length("line") > MASKED, F.col("line")).when(F.col("may_slot"), F.regexp_replace("line", _SLOT_MASK, "X")).otherwise(F.regexp_replace("line", _MASK, "X"))
+    base = pages.where(content.isNotNull()).select(F.col(page).alias("page"), F.col(host).alias("host"), F.split(content, "\n").alias("lines"), F.lower(content).rlike(_FILLER_MARK).alias("may_fill"), may_slot.alias("may_slot"))
+
+    def stopped(line: Column) -> Column:
+        return F.substring(line, -2, 2).rlike(_SENTENCE_END) & (_words_in(line) > SENTENCE_WORDS)
+
+    trimmed = F.filter(F.transform("lines", lambda x, i: F.struct(F.trim(x, F.lit(_BLANKS)).alias("line"), i.alias("line_no"))), lambda c: c["line"] != "")
+    base = base.withColumn("cells", trimmed).drop("lines")
+    # The hash of all sentences together, so that one of them can be taken out again.
+    report = F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: F.when(stopped(c["line"]), a.bitwiseXOR(F.xxhash64(c["line"]))).otherwise(a))
+    base = base.withColumn("report", F.when(report != 0, report).otherwise(F.xxhash64("page")))
+    lines = base.select("page", "host", "may_fill", "may_slot", "report", F.posexplode("cells").alias("at", "cell")).select("*", "cell.*")
+    masked = F.when(F.col("may_slot"), F.regexp_replace("line", _SLOT_MASK, "X")).otherwise(F.regexp_replace("line", _MASK, "X"))
     lines = lines.withColumn("masked", masked)
-    lines = lines.withColumn("shape", F.when(F.col("masked").rlike(r"\p{Ll}{2}"), F.col("masked")).otherwise(F.lower("line")))
-    short = F.length("line") <= MASKED
-    anchored = F.coalesce(F.col("first") >= 0, F.lit(False))
-    ended = F.substring("line", -2, 2).rlike(_SENTENCE_END)
-    sentence = ended & F.col("shape").rlike(r"^(?:[^ ]* ){4}")
-    inside = anchored & (F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last"))
+    lines = lines.withColumn("shape", F.when(F.col("masked").rlike(r"\p{Ll}{2}"), F.col("masked")).otherwise(F.lower("line"))).withColumn("stopped", stopped(F.col("line")))
+    lines = lines.withColumn("pieces", F.split("shape", _BETWEEN_SENTENCES))
+    inner = F.exists(F.slice("pieces", 1, F.size("pieces") - 1), lambda p: _words_in(p) > SENTENCE_WORDS)
+    lines = lines.withColumn("sentence", F.col("stopped") | inner | (_words_in(F.col("line")) >= UNSTOPPED_WORDS))
+    held = F.filter("pieces", lambda p: _words_in(p) >= SENTENCE_WORDS)
+    units = F.transform(held, lambda p: F.struct(template_leaf(p).alias("leaf"), (F.col("may_fill") & is_filler(p)).alias("filler")))
     return lines.select(
-        "page", "host", "line_no", F.length("line").alias("chars"), (F.col("line_no") == F.col("opening")).alias("opening"), anchored.alias("anchored"), inside.alias("inside"),
-        F.xxhash64("shape").alias("key"), "report",
-        F.when(sentence, F.when(F.col("paragraph"), F.col("report").bitwiseXOR(F.xxhash64("line"))).otherwise(F.col("report"))).alias("beside"),
-        F.when(short & F.col("shape").rlike(_LABEL), F.xxhash64(F.regexp_replace("shape", _LABEL, ""))).alias("rest_key"),
-        F.when(short & sentence, template_leaf(F.col("shape"))).alias("leaf"),
-        (F.col("may_fill") & is_filler(F.col("line"))).alias("filler"),
-        sentence.alias("sentence"),
-        (short & ~inside & ~ended & ~F.col("line").rlike(_BULLET)).alias("alone"),
+        "page", "host", "line_no", (F.col("at") == 0).alias("opening"), "report", "sentence", F.xxhash64("shape").alias("key"),
+        F.when(F.col("sentence"), F.when(F.col("stopped"), F.col("report").bitwiseXOR(F.xxhash64("line"))).otherwise(F.col("report"))).alias("beside"),
+        F.when(F.col("shape").rlike(_LABEL), F.xxhash64(F.regexp_replace("shape", _LABEL, ""))).alias("rest_key"),
+        F.when(F.col("sentence"), units).alias("units"),
+        F.col("line").rlike(_BULLET).alias("bullet"),
         F.col("line").rlike(_REPORT_NOTE).alias("note"),
         F.when(F.col("may_slot"), F.regexp_extract_all("line", F.lit(SURE_SLOTS), F.lit(0))).alias("sure"),
         F.when(F.col("may_slot"), F.regexp_extract_all("line", F.lit(POSSIBLE_SLOTS), F.lit(0))).alias("possible"),
     )
 
 
-def template_leaf(shape: Column) -> Column:
-    """Leaf of a fixed-depth prefix tree over masked lines: the number of tokens, then the first three tokens."""
-    tokens = F.split(shape, " ")
-    return F.xxhash64(F.size(tokens), F.slice(tokens, 1, 3))
-
-
 def checked_broadcast(table: DataFrame, bound: int = BROADCAST_VERDICTS) -> DataFrame:
     """A checkpointed table, marked for broadcast if its row count is within the bound."""
     return F.broadcast(table) if table.count() <= bound else table
 
 
-def line_verdicts(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, furniture) of keys with a verdict of their own, and (leaf) of message templates.
+def _spread(expected: Column | float) -> Column | float:
+    """A count that chance reaches hardly ever where ``expected`` is the limit: twice the spread above it."""
+    return expected + 2 * (F.sqrt(expected) if isinstance(expected, Column) else math.sqrt(expected))
+
+
+def recurring_sentences(lines: DataFrame) -> tuple[DataFrame, int]:
+    """(host, key, recurring) of the sentences that are furniture of a host, and the number of different reports.
 
     Lines are counted per key and host before the hosts meet, so one host or line with a third of all rows is a few
     partial counts per task. A sentence recurs as often as different reports stand beside it: copies of one report count
     once per host, and so do they among the host's pages.
     """
-    count = lambda c: F.sum(F.col(c).cast("bigint"))
-    per_host = lines.groupBy("key", "host").agg(F.count(F.lit(1)).alias("n"), count("inside").alias("inside"), count("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max(F.col("chars") > PARAGRAPH).alias("long"), F.count_distinct("beside").alias("differing"))
-    host_pages = lines.where("opening").groupBy("host").agg(F.count_distinct("report").alias("pages"))
-    hosts = checked_broadcast(cut_lineage(host_pages))
+    per_host = lines.where("sentence").groupBy("host", "key").agg(F.count_distinct("beside").alias("n"))
+    hosts = checked_broadcast(cut_lineage(lines.where("opening").groupBy("host").agg(F.count_distinct("report").alias("pages"))))
     total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
-    # A paragraph that a few altered copies of one report share is not furniture: it takes many pages of a host.
-    share = F.when(~F.col("long") & (F.col("differing") >= LEAST), F.col("differing") / F.col("pages")).when(F.col("differing") >= LEAST_LONG, F.col("differing") / F.col("pages") * HOST_SHARE / HOST_SHARE_LONG)
-    keys = per_host.join(hosts, "host", "left").groupBy("key").agg(F.sum("n").alias("n"), F.sum("differing").alias("differing"), F.sum("inside").alias("inside"), F.sum("anchored").alias("anchored"), F.max("sentence").alias("sentence"), F.max("leaf").alias("leaf"), F.max("long").alias("long"), F.max(share).alias("host_share"))
-    keys = cut_lineage(keys.select("key", "leaf", "n", "differing", "long", "anchored", "sentence", "host_share", F.coalesce(F.try_divide("inside", "anchored"), F.lit(0.0)).alias("inside_share")))
-    # Twice the spread of a count at the limit keeps chance repeats out of small corpora.
-    enough = max(LEAST, GLOBAL_SHARE * total + 2 * math.sqrt(GLOBAL_SHARE * total))
-    recurs = (~F.col("long") & (F.col("differing") >= enough)) | (F.coalesce("host_share", F.lit(0.0)) >= HOST_SHARE)
-    furniture = F.when(F.col("sentence"), recurs & (F.col("inside_share") < INSIDE_SHARE)).otherwise(F.col("inside_share") < INSIDE_SHARE)
-    of_keys = keys.where((F.col("n") >= LEAST) & (~F.col("sentence") | furniture)).select("key", furniture.alias("furniture"))
-    leaves = keys.where(F.col("leaf").isNotNull() & F.col("sentence")).groupBy("leaf").agg(F.sum("n").alias("n"), F.sum("anchored").alias("anchored"))
-    of_leaves = leaves.where((F.col("n") >= LEAST) & (F.col("anchored") <= MESSAGE_SHARE * F.col("n"))).select("leaf", F.lit(True).alias("message"))
-    return checked_broadcast(cut_lineage(of_keys)), checked_broadcast(cut_lineage(of_leaves))
+    # Most sentences stand once in the corpus. They can be none of the hosts' and need not be kept.
+    per_host = cut_lineage(per_host.where(F.col("n") >= 2))
+    pooled = per_host.groupBy("key").agg(F.sum("n").alias("all_n")).where(F.col("all_n") >= max(LEAST, _spread(POOLED_SHARE * total)))
+    of_host = per_host.join(hosts, per_host["host"].eqNullSafe(hosts["host"])).select(per_host["host"], "key", "n", "pages")
+    by_host = F.when(F.col("n") >= F.greatest(F.lit(LEAST), _spread(HOST_SHARE * F.col("pages"))), True).when(F.col("n") + 2 * F.sqrt("n") < HOST_SHARE_LEAST * F.col("pages"), False)
+    verdicts = of_host.join(checked_broadcast(cut_lineage(pooled)), "key", "left").select("host", "key", F.coalesce(by_host, F.col("all_n").isNotNull()).alias("recurring"))
+    # A sentence seen but once on a host is judged by all hosts.
+    everywhere = pooled.select(F.lit(None).cast("string").alias("host"), "key", F.lit(True).alias("recurring"))
+    return checked_broadcast(cut_lineage(verdicts.where("recurring").unionByName(everywhere))), total
+
+
+def placed_lines(lines: DataFrame, recurring: DataFrame) -> DataFrame:
+    """``lines`` plus recurring (its host's furniture), inside (between sentences of the report) and text: the report's
+    number of sentences."""
+    own = recurring.where("host IS NOT NULL")
+    everywhere = recurring.where("host IS NULL").select("key", F.col("recurring").alias("pooled"))
+    judged = lines.join(own, ["host", "key"], "left").join(everywhere, "key", "left")
+    judged = judged.withColumn("recurring", F.col("sentence") & (F.coalesce("recurring", "pooled", F.lit(False)))).drop("pooled")
+    body = F.when(F.col("sentence") & ~F.col("recurring"), F.col("line_no"))
+    spans = judged.groupBy("page").agg(F.min(body).alias("first"), F.max(body).alias("last"), F.sum(F.when(body.isNotNull(), F.size("units")).otherwise(0)).alias("text"), F.sum(F.col("opening").cast("int")).alias("rows"))
+    spans = spans.select("page", "first", "last", (F.col("text") / F.greatest("rows", F.lit(1))).alias("text"))
+    inside = F.coalesce((F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last")), F.lit(False))
+    return judged.join(spans, "page", "left").withColumn("inside", inside).drop("first", "last")
+
+
+def recurring_lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(host, key, host_furniture) where the host can tell, and (key, furniture) of all hosts, by where their lines stand.
+
+    Sentences that recur are judged too: those that stand inside reports belong to them however often they occur.
+    """
+    per_host = placed.where("NOT sentence OR recurring").groupBy("host", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("inside").cast("bigint")).alias("inside"))
+    per_host = cut_lineage(per_host)
+    share = F.col("inside") / F.col("n")
+    of_host = per_host.where((F.col("n") >= HOST_LINES) & ((share < HOST_INSIDE[0]) | (share > HOST_INSIDE[1]))).select("host", "key", (share < HOST_INSIDE[0]).alias("host_furniture"))
+    pooled = per_host.groupBy("key").agg(F.sum("n").alias("n"), F.sum("inside").alias("inside")).where(F.col("n") >= LEAST)
+    return checked_broadcast(cut_lineage(of_host)), checked_broadcast(cut_lineage(pooled.select("key", (share < INSIDE_SHARE).alias("furniture"))))
+
+
+def message_templates(placed: DataFrame, pages: int) -> DataFrame:
+    """(leaf, message) of the templates that recur on pages which hold little else.
+
+    The tree is filled with every sentence that is not furniture. A leaf is a message if it stands on enough pages and
+    hardly any of them has much text, against the average of the corpus.
+    """
+    units = placed.where("sentence AND NOT recurring").select("page", "text", F.explode("units").alias("unit")).where("NOT unit.filler")
+    average = placed.where("opening").agg(F.coalesce(F.avg("text"), F.lit(0.0))).first()[0]
+    per_page = units.groupBy(F.col("unit.leaf").alias("leaf"), "page").agg(F.max("text").alias("text"))
+    leaves = per_page.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("text") >= MUCH_TEXT * average).cast("bigint")).alias("among_text"))
+    least = max(LEAST, _spread(MESSAGE_PAGES * pages))
+    messages = leaves.where((F.col("n") >= least) & (F.col("among_text") <= MESSAGE_SHARE * F.col("n"))).select("leaf", F.lit(True).alias("message"))
+    return checked_broadcast(cut_lineage(messages))
 
 
 def judged_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
-    """page, line_no, chars, furniture, message, filler, opening (the page's first), sure and possible slots of each line.
+    """page, line_no, furniture, sentences and messages (how many of them are of a message template or filler), sure and
+    possible slots of each line.
 
     A line is furniture if its key recurs around reports, if it is a label or number before such a line, or if it is a
     title-like line that occurs too seldom to count and stands outside the report. Correction notes belong to a report.
     """
     # The text is read once: what both the counts and the verdicts need of a line is written down, without the line.
     lines = written(page_lines(pages, page, host, text))
-    keys, leaves = line_verdicts(lines)
+    recurring, total = recurring_sentences(lines)
+    placed = written(placed_lines(lines, recurring).drop("report", "beside"))
+    own, keys = recurring_lines(placed)
+    leaves = message_templates(placed, total)
     rest = keys.select(F.col("key").alias("rest_key"), F.col("furniture").alias("rest_furniture"))
-    known = lines.join(keys, "key", "left").join(rest, "rest_key", "left").join(leaves, "leaf", "left")
-    furniture = (F.coalesce("furniture", F.lit(False)) | F.coalesce("rest_furniture", F.lit(False)) | (F.col("furniture").isNull() & F.col("alone") & ~F.col("sentence"))) & ~F.col("note")
-    return known.select("page", "line_no", "chars", furniture.alias("furniture"), F.coalesce("message", F.lit(False)).alias("message"), "filler", "opening", "sure", "possible")
+    known = placed.join(own, ["host", "key"], "left").join(keys, "key", "left").join(rest, "rest_key", "left")
+    by_key = F.coalesce("host_furniture", "furniture")
+    alone = by_key.isNull() & ~F.col("inside") & ~F.col("bullet")
+    furniture = F.when(F.col("sentence"), F.col("recurring") & F.coalesce(by_key, F.lit(True))).otherwise(F.coalesce(by_key, F.lit(False)) | alone) | F.coalesce("rest_furniture", F.lit(False))
+    known = known.select("page", "line_no", (furniture & ~F.col("note")).alias("furniture"), "sure", "possible", F.posexplode_outer("units").alias("at", "unit"))
+    known = known.select("*", F.col("unit.leaf").alias("leaf"), "unit.filler").join(leaves, "leaf", "left")
+    first = F.coalesce(F.col("at"), F.lit(0)) == 0
+    message = F.coalesce(F.col("message") | F.col("filler"), F.col("filler"), F.lit(False))
+    return known.select("page", "line_no", "furniture", F.col("leaf").isNotNull().alias("is_unit"), message.alias("message"), F.when(first, F.col("sure")).alias("sure"), F.when(first, F.col("possible")).alias("possible"))

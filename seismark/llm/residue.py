@@ -8,31 +8,27 @@ from pyspark.sql import functions as F
 from seismark.llm.pagelines import judged_lines
 from seismark.session import cut_lineage
 
-#: Characters of report text below which a page holds no report.
-LEAST_REPORT = 280
-
-
 def slot_name(slot: Column) -> Column:
     """The name in a slot, without marks, case and separators: ``{{ article.body }}`` and ``[articlebody]`` agree."""
     return F.regexp_replace(F.lower(slot), r"^\[insert |^xx|xx$| here>>$|^\{%\s*block|[^a-z0-9]", "")
 
 
 def page_verdicts(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
-    """page, furniture_lines, report_chars, sure_slots, slot_names, possible_names: what each page with text holds.
+    """page, furniture_lines, sentences, messages, sure_slots, possible_slots: what each page with text holds.
 
-    Report characters leave out furniture, message templates and filler. Slots are looked for in the lines of the report
-    only. Repeated rows of a page are judged as one; pages with null or blank text are left out; a page without a host is
-    judged by what all hosts share. An empty table gives no rows.
+    ``sentences`` counts those of the report, ``messages`` those of message templates and filler; furniture is in
+    neither. Slots are looked for in the lines of the report only. Repeated rows of a page are judged as one; pages with
+    null or blank text are left out; a page without a host is judged by what all hosts share. An empty table gives no
+    rows.
     """
     lines = judged_lines(pages, page, host, text)
     report = ~F.col("furniture")
-    held = F.when(report & ~F.col("message") & ~F.col("filler"), F.col("chars")).otherwise(0)
-    rows = lines.select("page", "line_no", "furniture", "opening", held.alias("held"), F.when(report, F.col("sure")).alias("sure"), F.when(report, F.col("possible")).alias("possible"))
-    verdicts = rows.groupBy("page").agg(
+    verdicts = lines.groupBy("page").agg(
         F.collect_set(F.when(F.col("furniture"), F.col("line_no"))).alias("furniture_lines"),
-        (F.sum("held") / F.greatest(F.sum(F.col("opening").cast("int")), F.lit(1))).cast("bigint").alias("report_chars"),
-        F.flatten(F.collect_list("sure")).alias("sure_slots"),
-        F.flatten(F.collect_list("possible")).alias("possible_slots"),
+        F.sum((report & F.col("is_unit") & ~F.col("message")).cast("bigint")).alias("sentences"),
+        F.sum((report & F.col("is_unit") & F.col("message")).cast("bigint")).alias("messages"),
+        F.flatten(F.collect_list(F.when(report, F.col("sure")))).alias("sure_slots"),
+        F.flatten(F.collect_list(F.when(report, F.col("possible")))).alias("possible_slots"),
     )
     return cut_lineage(verdicts)
 
@@ -40,12 +36,15 @@ def page_verdicts(pages: DataFrame, page: str, host: str, text: str) -> DataFram
 def residue_pages(verdicts: DataFrame) -> DataFrame:
     """page, reason: pages without a report ('no_report') or with unfilled slots in it ('unfilled_slots').
 
-    A single-bracket mark counts as a slot only if its name is also used in an unmistakable slot somewhere in the corpus.
+    A page holds no report if the sentences of messages and filler are as many as those of the report, or there are none
+    of either. A report that quotes a message has more of its own. A single-bracket mark counts as a slot only if its name
+    is also used in an unmistakable slot somewhere in the corpus.
     """
+    missing = F.col("sentences") <= F.col("messages")
     sure = verdicts.where(F.size("sure_slots") > 0)
     names = sure.select(F.explode("sure_slots").alias("slot")).select(slot_name(F.col("slot")).alias("name")).where("name <> ''").distinct()
     possible = verdicts.where((F.size("sure_slots") == 0) & (F.size("possible_slots") > 0)).select("page", F.explode("possible_slots").alias("slot"))
     by_name = possible.select("page", slot_name(F.col("slot")).alias("name")).join(names, "name", "left_semi").select("page").distinct()
-    plain = verdicts.where((F.size("sure_slots") > 0) | (F.col("report_chars") < LEAST_REPORT))
-    plain = plain.select("page", F.when(F.col("report_chars") < LEAST_REPORT, "no_report").otherwise("unfilled_slots").alias("reason"))
+    plain = verdicts.where((F.size("sure_slots") > 0) | missing)
+    plain = plain.select("page", F.when(missing, "no_report").otherwise("unfilled_slots").alias("reason"))
     return plain.unionByName(by_name.select("page", F.lit("unfilled_slots").alias("reason"))).groupBy("page").agg(F.min("reason").alias("reason"))

@@ -67,3 +67,56 @@ def test_long_and_empty_input(spark):
     assert residue_pages(verdicts).count() == 0 and verdicts.count() == 1
     none = page_verdicts(df.limit(0), "i", "h", "c")
     assert none.count() == 0 and residue_pages(none).count() == 0
+
+
+def test_notices_and_menus_of_one_host_are_told_by_its_own_counts(spark, monkeypatch):
+    pages, cases, furniture = build()
+    notice = "The publisher of this site and its partners store small files on your device to measure how often a page is visited, to show fitting offers and to keep you signed in while you read on."
+    quoted = "Letters from readers were not edited for length."
+    rows, expected = [], set()
+    for i, host, text in pages:
+        lines = text.split("\n")
+        if host == "h2.example" and i not in cases:
+            lines = [notice, *lines]
+            expected |= {(i, 0)} | {(i, k + 1) for p, k in furniture if p == i}
+        elif i not in cases:
+            # The same short line is a subhead on other hosts and stands inside their reports.
+            lines.insert(3 if i % 3 else 1, "From the archive")
+            expected |= {(i, k + (k >= (3 if i % 3 else 1))) for p, k in furniture if p == i}
+        if host == "h2.example" and i not in cases:
+            lines.append("From the archive")
+            expected.add((i, len(lines) - 1))
+        rows.append((i, host, "\n".join(lines)))
+    df = spark.createDataFrame(rows, "index_id bigint, domain string, content string")
+
+    def furniture_found():
+        verdicts = page_verdicts(df, "index_id", "domain", "content")
+        return {(r["page"], k) for r in verdicts.collect() for k in r["furniture_lines"] if r["page"] not in cases}
+
+    assert furniture_found() == expected
+    # Without a host's own counts, what only it repeats stays in its reports.
+    monkeypatch.setattr("seismark.llm.pagelines.HOST_LINES", 10**9)
+    assert expected - furniture_found() >= {(p, k) for p, k in expected if rows[p][2].split("\n")[k] == "From the archive"}
+    monkeypatch.setattr("seismark.llm.pagelines.HOST_SHARE", 10.0)
+    monkeypatch.setattr("seismark.llm.pagelines.POOLED_SHARE", 10.0)
+    assert expected - furniture_found() >= {(p, k) for p, k in expected if rows[p][2].split("\n")[k] == notice}
+
+
+def test_templates_decide_which_pages_hold_messages(spark, monkeypatch):
+    rng = random.Random(8)
+    pages, cases, _ = build()
+    long_notice = "To go on reading you have to prove that you are a person and not a program, since unusual traffic of {} requests has reached us from your part of the network in the last hour."
+    pages += [(3000 + i, f"h{i % 6}.example", long_notice.format(rng.randint(100, 999)) + "\nContact us") for i in range(40)]
+    # A short report of the same length, and one that quotes the notice.
+    pages.append((4000, "h1.example", paragraph(rng) + "\n" + paragraph(rng)))
+    pages.append((4001, "h1.example", "\n".join([paragraph(rng), paragraph(rng), paragraph(rng), long_notice.format(512)])))
+    pages.append((4002, "h1.example", "LOREM IPSUM DOLOR SIT AMET, CONSECTETUR ADIPISCING ELIT SED DO EIUSMOD.\nDuis aute irure dolor in reprehenderit in voluptate velit esse cillum."))
+    df = spark.createDataFrame(pages, "index_id bigint, domain string, content string")
+
+    def found():
+        return {r["page"] for r in residue_pages(page_verdicts(df, "index_id", "domain", "content")).collect()}
+
+    expected = cases | {3000 + i for i in range(40)} | {4002}
+    assert found() == expected
+    monkeypatch.setattr("seismark.llm.pagelines.MESSAGE_SHARE", -1.0)
+    assert expected - found() >= {3000 + i for i in range(40)}
