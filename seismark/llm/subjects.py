@@ -1,15 +1,20 @@
 """Subject areas of documents, from clusters of the corpus and a few labelled texts.
 
-Normalised TF-IDF vectors of all documents are clustered by bisecting k-means. Each leaf gets a mixture of subjects from
-its discriminative terms, weighed by what the labelled texts say of those terms; the leaves in turn give every term of
-the corpus its weights, so that a term no labelled text holds is known by the leaves it favours. One pass of counting
-over all sentences sharpens the weights. A document's subjects are those that a given share of its sentences is about.
+Normalised TF-IDF vectors of all documents are clustered by bisecting k-means. Each leaf is labelled with a mixture of
+subjects by its discriminative terms: the labelled texts say which subjects those terms belong to. Every sentence
+of a document falls to the leaf whose terms it holds, and the mixtures of its sentences' leaves, averaged, are the
+document's: they propose its subjects.
+
+Leaves hold whole documents, and a leaf of documents about two subjects cannot say which of them one sentence is about.
+The proposals are therefore checked exactly: the leaves' mixtures give every term its first weights, counting passes
+over all sentences sharpen them, and a proposed subject stays if the given share of the sentences is about it.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -24,9 +29,13 @@ from seismark.session import written
 TERMS, LEAVES, ROUNDS = 1 << 15, 48, 6
 #: Labelled texts are a bounded input: at most so many are read.
 LABELLED_TEXTS = 20_000
-#: First counting pass, by labelled texts and leaves: a sentence is about a subject from the first score on, by two terms
-#: that weigh STRONG, and about none below the second.
+#: First counting pass, by the leaves' weights: a sentence is about a subject from the first score on, by two terms that
+#: weigh STRONG, and about none below the second.
 FIRST, STRONG = (4.0, 3.0), 1.0
+#: Log-odds from which a term tells its leaves' subjects, and the most that it weighs at first.
+TELLING, MOST_WEIGHT = 1.0, 3.0
+#: Part of the asked share that a document's leaf mixture must hold of a subject to propose it.
+PROPOSED = 0.25
 #: Later passes score by the counts before them, as shares of what the sentences of a subject score on average.
 LATER = ((0.5, 0.35), (0.45, 0.3))
 #: Share of that average by which a sentence must favour a subject over none in the end.
@@ -105,6 +114,15 @@ def _bounded_table(rows: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarra
     return counts, sizes
 
 
+@dataclass(frozen=True)
+class SubjectModel:
+    """Weight of each hashed term per leaf and per subject, and the leaves' mixtures of subjects (leaf by subject)."""
+
+    leaf_terms: np.ndarray
+    mixtures: np.ndarray
+    terms: np.ndarray
+
+
 def _leaf_terms(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents per leaf and hashed term, and per leaf, of a bisecting k-means over all documents."""
     counted = HashingTF(numFeatures=TERMS, inputCol="words", outputCol="counts").transform(terms.select("ids", F.col("ids").cast("array<string>").alias("words"))).select("ids", "counts")
@@ -128,31 +146,39 @@ def leaf_mixtures(counts: np.ndarray, sizes: np.ndarray, labelled: np.ndarray) -
     return np.where(mixture > 0.25 * mixture.max(initial=1e-9), mixture / np.maximum(1.0, mixture.sum(axis=1, keepdims=True)), 0.0)
 
 
-def fit_subjects(terms: DataFrame, examples: DataFrame, subject: str, example_text: str) -> tuple[list[str], np.ndarray]:
-    """Names of the subjects and the weight of each hashed term for each of them against no subject.
+def leaf_term_weights(counts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Of each term for each leaf: its log-odds, where it is telling and not the chance of a few documents."""
+    lift = _log_odds(counts, sizes, 1.0)
+    return np.where((lift > 0.7) & (counts >= 3), lift, 0.0)
+
+
+def fit_subjects(terms: DataFrame, examples: DataFrame, subject: str, example_text: str) -> tuple[list[str], SubjectModel]:
+    """Names of the subjects and the model of the leaves and terms that tell them.
 
-    A weight is the term's log-odds over the average score of a subject's sentences.
+    The labelled texts name the leaves; what a term weighs at first is its log-odds between the leaves of a subject and
+    all others, or between the labelled texts where the leaves agree, and after each counting pass its log-odds over
+    the average score of a subject's sentences.
 
     ``terms``: the corpus as ``tokenised`` gives it. Examples with a null subject or text are left out.
     """
     told = examples.select(F.col(subject).alias("s"), F.col(example_text).alias("t")).where("s IS NOT NULL AND t IS NOT NULL").limit(LABELLED_TEXTS).collect()
     names = sorted({r["s"] for r in told})
     if not names:
-        return [], np.zeros((0, TERMS))
+        return [], SubjectModel(np.zeros((0, TERMS)), np.zeros((0, 0)), np.zeros((0, TERMS)))
     ids, seen, seen_sizes = _TermIds(), np.zeros((len(names), TERMS)), np.zeros(len(names))
     for row in told:
         flat, lengths = text_terms(row["t"], ids)
         np.add.at(seen[names.index(row["s"])], flat, 1)
         seen_sizes[names.index(row["s"])] += len(lengths)
     labelled = _log_odds(seen, seen_sizes, 0.5)
-    counts, sizes = _leaf_terms(terms)
-    mixtures = leaf_mixtures(counts, sizes, labelled)
-    of_subject = np.vstack([mixtures.T @ counts, (1 - mixtures.sum(axis=1)) @ counts])
-    subject_sizes = np.append(mixtures.T @ sizes, (1 - mixtures.sum(axis=1)) @ sizes)
+    leaf_counts, leaf_sizes = _leaf_terms(terms)
+    mixtures = leaf_mixtures(leaf_counts, leaf_sizes, labelled)
+    of_subject = np.vstack([mixtures.T @ leaf_counts, (1 - mixtures.sum(axis=1)) @ leaf_counts])
+    subject_sizes = np.append(mixtures.T @ leaf_sizes, (1 - mixtures.sum(axis=1)) @ leaf_sizes)
     from_leaves = _log_odds(of_subject, subject_sizes, 2.0)[:-1]
-    # A term enters by its labelled texts if two sentences hold it, else by the leaves it favours, and more weakly.
-    known = (labelled >= 1.5) & (seen >= 2)
-    weights = np.where(known, labelled, np.where((from_leaves > 1.0) & (seen.sum(axis=0) < 2), np.minimum(from_leaves, 1.5), 0.0))
+    # What labelled texts say of a term counts as far as the leaves bear it out.
+    told_too = (labelled >= 1.5) & (seen >= 2) & (from_leaves > 0)
+    weights = np.where(told_too, labelled, np.where(from_leaves > TELLING, np.minimum(from_leaves, MOST_WEIGHT), 0.0))
 
     strong_from = STRONG
     for sure, unsure in (FIRST, *LATER):
@@ -177,13 +203,25 @@ def fit_subjects(terms: DataFrame, examples: DataFrame, subject: str, example_te
         counts, sizes = _bounded_table(terms.select("ids", "lengths").mapInPandas(count_sentences, "class int, term int, n bigint"), len(names) + 1)
         inside = (counts[:-1] + 0.3) / (sizes[:-1, None] + 0.6)
         none = (counts[-1] + 0.3) / (sizes[-1] + 0.6)
-        weights = np.where(counts.sum(axis=0) >= 4, np.clip(np.log(inside / none), -3.0, 5.0), np.where(labelled >= 0.7, labelled, 0.0))
+        weights = np.where(counts.sum(axis=0) >= 4, np.clip(np.log(inside / none), -3.0, 5.0), 0.0)
         average = max(1e-9, (counts[:-1] * weights).sum() / max(1.0, sizes[:-1].sum()))
         weights, strong_from = weights / average, STRONG / average
-    return names, weights
+    return names, SubjectModel(leaf_term_weights(leaf_counts, leaf_sizes), mixtures, weights)
+
+
+def leaf_mixture_of_documents(batch: pd.DataFrame, leaf_terms: np.ndarray, mixtures: np.ndarray) -> np.ndarray:
+    """Subject mixture of each document of a batch: the mean over its sentences of the mixture of the sentence's leaf.
+
+    A sentence without a telling term of any leaf adds nothing.
+    """
+    _, _, scores, owner = sentence_scores(batch, leaf_terms)
+    told = scores.max(axis=0) > 0
+    out = np.zeros((len(batch), mixtures.shape[1]))
+    np.add.at(out, owner[told], mixtures[scores.argmax(axis=0)[told]])
+    return out / np.bincount(owner, minlength=len(batch))[:, None]
 
 
-def document_subjects(terms: DataFrame, names: list[str], weights: np.ndarray, least_share: float = 1 / 3) -> DataFrame:
+def document_subjects(terms: DataFrame, names: list[str], model: SubjectModel, least_share: float = 1 / 3) -> DataFrame:
     """document, subject, share: every subject that at least ``least_share`` of a document's sentences is about.
 
     Documents without a sentence, null or empty, have no subject; neither have any if there are no labelled texts.
@@ -192,17 +230,19 @@ def document_subjects(terms: DataFrame, names: list[str], weights: np.ndarray, l
     """
     if not names:
         return terms.sparkSession.createDataFrame([], "document bigint, subject string, share double")
-    shared = terms.sparkSession.sparkContext.broadcast(weights.astype(np.float32))
+    shared = terms.sparkSession.sparkContext.broadcast((model.leaf_terms.astype(np.float32), model.mixtures.astype(np.float32), model.terms.astype(np.float32)))
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        leaf_terms, mixtures, weights = shared.value
         for batch in batches:
-            _, _, scores, owner = sentence_scores(batch, shared.value)
+            _, _, scores, owner = sentence_scores(batch, weights)
+            proposed = leaf_mixture_of_documents(batch, leaf_terms, mixtures) >= PROPOSED * least_share
             about = np.zeros((len(batch), len(names)))
             lead = scores.max(axis=0) >= LEAD
             np.add.at(about, (owner[lead], scores.argmax(axis=0)[lead]), 1)
             share = about / np.bincount(owner, minlength=len(batch))[:, None]
-            row, k = np.nonzero((share >= least_share - 1e-9) & (about > 0))
-            yield pd.DataFrame({"document": batch["document"].to_numpy()[row], "subject": [names[x] for x in k], "share": share[row, k]})
+            row, k = np.nonzero(proposed & (share >= least_share - 1e-9) & (about > 0))
+            yield pd.DataFrame({"document": batch["document"].to_numpy()[row], "subject": np.array(names, dtype=object)[k], "share": share[row, k]})
 
     judged = terms.where("document IS NOT NULL").mapInPandas(judge, "document bigint, subject string, share double")
     return judged.groupBy("document", "subject").agg(F.max("share").alias("share"))

@@ -1,6 +1,9 @@
 import random
 
-from seismark.llm.subjects import document_subjects, fit_subjects, sentences, tokenised
+import numpy as np
+
+from seismark.llm.subjects import TERMS as TERMS_HASHED
+from seismark.llm.subjects import SubjectModel, document_subjects, fit_subjects, sentences, tokenised
 
 TERMS = {
     "sport": (["The captain", "A striker", "Two substitutes", "The referee", "Our goalkeeper"], ["won", "lost", "postponed", "dominated"], ["the derby", "a penalty", "the marathon", "the second leg", "the semifinal"]),
@@ -43,3 +46,29 @@ def test_held_out_accuracy_and_edge_cases(spark):
 
 def test_sentences():
     assert sentences('"One ended." Two followed!\nThree') == ['"One ended.', "Two followed!", "Three"]
+
+
+def test_leaves_decide(spark, monkeypatch):
+    rng = random.Random(2)
+    examples = [(s, " ".join(sentence(rng, p) for _ in range(4))) for s, p in TERMS.items() for _ in range(6)]
+    kinds = [TERMS["sport"], TERMS["law"], PLAIN]
+    docs = [(i, " ".join(sentence(rng, kinds[i % 3]) for _ in range(5)) + " " + sentence(rng, PLAIN)) for i in range(300)]
+    terms = tokenised(spark.createDataFrame(docs, "doc bigint, body string"), "doc", "body")
+    told = spark.createDataFrame(examples, "s string, t string")
+    names, model = fit_subjects(terms, told, "s", "t")
+    assert document_subjects(terms, names, model).count() == 200
+    # Leaves that belong to the other subject propose it, and the sentences do not bear it out.
+    turned = SubjectModel(model.leaf_terms, model.mixtures[:, ::-1], model.terms)
+    assert document_subjects(terms, names, turned).count() < 40
+    monkeypatch.setattr("seismark.llm.subjects._leaf_terms", lambda _: (np.zeros((1, TERMS_HASHED)), np.zeros(1)))
+    names, model = fit_subjects(terms, told, "s", "t")
+    assert document_subjects(terms, names, model).count() == 0
+
+
+def test_documents_without_a_subject_alone(spark):
+    rng = random.Random(3)
+    examples = [(s, " ".join(sentence(rng, p) for _ in range(4))) for s, p in TERMS.items() for _ in range(6)]
+    docs = [(i, " ".join(sentence(rng, PLAIN) for _ in range(5))) for i in range(60)]
+    terms = tokenised(spark.createDataFrame(docs, "doc bigint, body string"), "doc", "body")
+    names, model = fit_subjects(terms, spark.createDataFrame(examples, "s string, t string"), "s", "t")
+    assert document_subjects(terms, names, model).count() == 0
