@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seismark.functions.instants import date_components, month_number, number_at, wall_seconds, zone_offset_seconds
+from seismark.session import broadcast_if_small, cut_lineage, written
 
 #: Pseudo-counts of a declared and of an undeclared order.
 DECLARED_PRIOR, FLAT_PRIOR = (1e6, 1.0), (1.0, 1.0)
@@ -25,6 +26,8 @@ FUTURE_LIKELIHOOD = 1e-6
 #: Posterior below which a value is marked unresolved.
 RESOLVED_FROM = 0.9
 EM_ROUNDS = 30
+#: Rows of the table of sources or of zone abbreviations that are broadcast at most; larger ones are joined by shuffle.
+BROADCAST_SOURCES = 500_000
 
 
 def zone_abbreviations(zones: DataFrame, zone: str) -> DataFrame:
@@ -95,7 +98,7 @@ def normalise_instants(df: DataFrame, text: str, source: str, seen_at: str | Non
     zone: column with the IANA zone of values without one (UTC where null); day_first: column with the declared order.
 
     instant_status is 'ok', 'ambiguous' (both orders fit and no posterior reaches ``RESOLVED_FROM``; epoch_s then holds
-    the likelier reading), or 'unreadable' with a null epoch_s: null, blank and overlong text, text that names no full
+    the likelier reading), or 'unreadable' with a null epoch_s: null and blank text, text of any length that names no full
     day, days or clock times that do not exist. A wall clock that occurs twice is read as its earlier instant, one that
     is skipped moves forward with the clocks. Repeated rows stay repeated, ties between readings go to day first,
     an empty table gives an empty result. Columns of ``df`` with the names of the added ones are replaced.
@@ -112,7 +115,7 @@ def normalise_instants(df: DataFrame, text: str, source: str, seen_at: str | Non
         (F.col(zone) if zone else F.lit(None).cast("string")).alias("zone"),
         (F.col(day_first) if day_first else F.lit(None).cast("boolean")).alias("declared_day_first"),
         # One generated row each: the text is matched once, and the plan does not copy the match into every use of it.
-        F.explode(F.array(date_components(F.when(F.length(raw) <= 100, raw)))).alias("parts"),
+        F.explode(F.array(date_components(raw))).alias("parts"),
     )
     parts = F.col("parts")
     year = F.when(F.length(parts[1]) == 2, number_at(parts, 1) + F.when(number_at(parts, 1) < 70, 2000).otherwise(1900)).otherwise(number_at(parts, 1))
@@ -131,7 +134,9 @@ def normalise_instants(df: DataFrame, text: str, source: str, seen_at: str | Non
     parsed = base.select("row", "source", "zone", "declared_day_first", "seen_s", F.explode(F.array(read)).alias("read")).select("*", "read.*").drop("read")
     parsed = parsed.withColumns({"class_d": _delay_class(F.col("seen_s"), F.col("wall_d")), "class_m": _delay_class(F.col("seen_s"), F.col("wall_m"))})
 
-    resolved = parsed.join(order_mixture(parsed), "source", "left")
+    # Written once: the mixture is fitted on all rows before any of them can be settled.
+    parsed = written(parsed)
+    resolved = parsed.join(broadcast_if_small(cut_lineage(order_mixture(parsed)), BROADCAST_SOURCES), "source", "left")
     share = F.coalesce(F.col("day_first_share"), F.lit(0.5))
     like_d, like_m = share * _likelihood(F.col("class_d")), (1 - share) * _likelihood(F.col("class_m"))
     twofold = (F.col("notation") == "numeric") & F.col("wall_d").isNotNull() & F.col("wall_m").isNotNull() & (F.col("wall_d") != F.col("wall_m"))
@@ -142,6 +147,7 @@ def normalise_instants(df: DataFrame, text: str, source: str, seen_at: str | Non
     plain_offset = zone_offset_seconds(F.col("zone_text"))
     if zone:
         abbreviations = zone_abbreviations(df.select(F.col(zone).alias("zone")), "zone").withColumnRenamed("abbreviation", "zone_text")
+        abbreviations = broadcast_if_small(cut_lineage(abbreviations), BROADCAST_SOURCES)
         resolved = resolved.join(abbreviations, ["zone", "zone_text"], "left")
         offset = F.coalesce(plain_offset, F.col("abbreviation_s"))
     else:

@@ -49,3 +49,10 @@ def written(df: DataFrame) -> DataFrame:
 def broadcast_if_small(table: DataFrame, bound: int) -> DataFrame:
     """A checkpointed table, marked for broadcast once its row count is known to be within the bound."""
     return F.broadcast(table) if table.count() <= bound else table
+
+
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Repartitioned by ``columns`` into a stated number of parts: adaptive execution would merge rows that are small in
+    bytes into one task, however long each of them takes."""
+    session = df.sparkSession
+    return df.repartition(max(int(session.conf.get("spark.sql.shuffle.partitions")), session.sparkContext.defaultParallelism), *columns)
