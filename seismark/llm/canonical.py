@@ -1,9 +1,9 @@
 """Values typed freely, mapped to the closest entry of a reference list.
 
 Values are folded (case, accents, quotes, brackets, abbreviations) and looked up in a BK-tree over the folded entries
-under a true edit metric; the triangle inequality prunes, and every entry within the limit is seen. A reference list up
-to a checked bound is broadcast and probed where the rows lie, without a shuffle; a larger one is spread over shards,
-the distinct values are probed against each shard, and the shards' winners are merged.
+under a true edit metric; the triangle inequality prunes, and every entry within the limit is seen. Each distinct value is
+probed once. A reference list up to a checked bound is broadcast; a larger one is spread over shards, the values are
+probed against each shard, and the shards' winners are merged.
 """
 
 from __future__ import annotations
@@ -11,16 +11,19 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
+from itertools import product
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seismark.llm.bktree import BKTree
+from seismark.session import broadcast_if_small, cut_lineage, spread
 
 #: Entries of a reference list that are broadcast at most; beyond, the list is sharded by this size.
 BROADCAST_ENTRIES = 200_000
+#: Distinct values whose answers are broadcast to the rows at most; more are joined by shuffle.
+BROADCAST_VALUES = 200_000
 #: Parts in which the distinct values meet each shard of a list that is not broadcast.
 SLICES = 64
 
@@ -60,9 +63,10 @@ def _words(text: str) -> str:
     return re.sub(r"[^\w]+", " ", text).strip()
 
 
-def readings(value: str, abbreviations: dict[str, tuple[str, ...]]) -> list[str]:
+def readings(value: str, abbreviations: dict[str, tuple[str, ...]], most_words: int) -> list[str]:
     """The forms in which a typed value may stand in the list: without brackets or what follows a comma or slash,
-    turned round at a comma, without "city of" and the like, with abbreviations written out."""
+    turned round at a comma, without "city of" and the like, with abbreviations written out in every way. Forms of more
+    than ``most_words`` words are left out."""
     folded = fold(value)
     bare = _words(re.sub(r"\([^)]*\)?", " ", folded))
     pieces = [x for x in re.split(r"\s*[,/;:|(]\s*|\s+-\s+", re.sub(r"\([^)]*\)?", " ", folded)) if x.strip(" .-")]
@@ -75,11 +79,8 @@ def readings(value: str, abbreviations: dict[str, tuple[str, ...]]) -> list[str]
     for form in forms:
         for x in (form, _AROUND.sub("", form), re.sub(r"^the ", "", form)):
             words = x.split()
-            spelled = [[]]
-            for i, w in enumerate(words):
-                ways = abbreviations.get(w, (w,)) if i < 3 else (w,)
-                spelled = [[*s, y] for s in spelled for y in dict.fromkeys((*ways, w))][:16]
-            out += [" ".join(s) for s in spelled]
+            if len(words) <= most_words:
+                out += map(" ".join, product(*[dict.fromkeys((*abbreviations.get(w, ()), w)) for w in words]))
     return [x for x in dict.fromkeys(out) if x]
 
 
@@ -93,22 +94,22 @@ class ValueIndex:
             if key and tuple(entry) not in self.ids.setdefault(key, []):
                 self.ids[key].append(tuple(entry))
         self.tree, self.limit, self.abbreviations = BKTree(self.ids), limit, abbreviations
-        self.longest = max(map(len, self.ids), default=0)
-        self.lookup = lru_cache(maxsize=200_000)(self._lookup)
+        # An edit adds one letter, or one blank and thereby one word, so longer forms are near no entry.
+        self.longest = max(map(len, self.ids), default=0) + limit
+        self.most_words = max((len(x.split()) for x in self.ids), default=0) + limit
 
-    def _lookup(self, value: str) -> tuple[tuple, ...]:
-        forms = readings(value, self.abbreviations) if len(value) <= 8 * (self.longest + 8) else []
+    def lookup(self, value: str) -> tuple[tuple, ...]:
+        forms = [x for x in readings(value, self.abbreviations, self.most_words) if len(x) <= self.longest]
         exact = [(0, x) for x in forms if x in self.ids]
-        near = exact or [(d, name) for x in forms if len(x) <= self.longest + self.limit for d, name in self.tree.nearest(x, min(self.limit, (len(x) - 1) // 3))]
+        near = exact or [(d, name) for x in forms for d, name in self.tree.nearest(x, min(self.limit, (len(x) - 1) // 3))]
         if not near:
             return ()
         least = min(d for d, _ in near)
         return tuple(dict.fromkeys((least, *entry) for d, name in near if d == least for entry in self.ids[name]))
 
 
-def map_values(
-    df: DataFrame,
-    columns: list[str],
+def match_values(
+    values: DataFrame,
     reference: DataFrame,
     ref_id: str,
     names: list[str],
@@ -117,51 +118,77 @@ def map_values(
     abbreviations: dict[str, tuple[str, ...]] | None = None,
     broadcast_entries: int = BROADCAST_ENTRIES,
 ) -> DataFrame:
-    """``df`` plus, for each column, <column>_matches: array of (distance, ref_id, carried bigints), the closest entries.
-
-    An edit is an insertion, deletion, substitution or swap of neighbours after folding; at most ``limit`` are allowed,
-    fewer in names of under seven letters. Null stands for a value that holds no name (null, blank, punctuation,
-    "unknown"), an empty array for one that is not listed; ties of distance give every closest entry, by id. Repeated
-    rows stay, values far longer than any entry are not listed, empty tables and an empty list are allowed, entries with
-    a null id or name are left out. Columns of ``df`` with the names of the added ones are replaced.
-    """
-    carry, short, added = carry or [], abbreviations or {}, [f"{c}_matches" for c in columns]
-    df = df.drop(*added)
+    """value, matches: for each distinct value that is listed, the closest entries as ``map_values`` gives them."""
+    carry, short = carry or [], abbreviations or {}
     facts = ["ref_id", *carry]
     entries = reference.select(F.explode(F.array(*[F.col(n).cast("string") for n in names])).alias("name"), F.col(ref_id).cast("bigint").alias("ref_id"), *[F.col(c).cast("bigint").alias(c) for c in carry])
     entries = entries.where(F.col("ref_id").isNotNull() & (F.trim("name") != "")).distinct()
-    result = f"array<struct<distance:int,{','.join(f'{c}:bigint' for c in facts)}>>"
-    asked = df.select("*", *[F.when(holds_name(F.col(c)), F.col(c)).alias(a) for c, a in zip(columns, added)])
+    values = values.select(F.col(values.columns[0]).cast("string").alias("value"))
+    values = values.where(holds_name(F.col("value"))).distinct()
+    schema = "value string, distance int, " + ", ".join(f"{c} bigint" for c in facts)
+    found = ["value", "distance", *facts]
 
     def ordered(rows: Iterable) -> list[tuple]:
         return sorted((tuple(r) for r in rows), key=lambda r: (r[1], r[0]))
 
+    def answers(some: pd.Series, index: ValueIndex) -> pd.DataFrame:
+        return pd.DataFrame([(v, *m) for v in some for m in index.lookup(v)], columns=found)
+
     if (count := entries.count()) <= broadcast_entries:
-        listed = df.sparkSession.sparkContext.broadcast(ordered(entries.collect()))
+        listed = values.sparkSession.sparkContext.broadcast(ordered(entries.collect()))
 
-        def answer(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             index = ValueIndex(listed.value, limit, short)
             for batch in batches:
-                columns_now = [batch] if isinstance(batch, pd.Series) else batch
-                yield pd.DataFrame({a: [None if v is None else [dict(zip(("distance", *facts), m)) for m in index.lookup(v)] for v in c] for a, c in zip(added, columns_now)})
+                yield answers(batch["value"], index)
 
-        answers = F.pandas_udf(answer, f"struct<{','.join(f'{a}:{result}' for a in added)}>")
-        return asked.withColumn("won", answers(*added)).select(*df.columns, *[F.col("won")[a].alias(a) for a in added])
+        won = spread(values, "value").mapInPandas(probe, schema)
+    else:
+        shards = -(-count // broadcast_entries)
+        parts = entries.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
+        asked = values.select("value", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("value"), F.lit(SLICES)).cast("int").alias("slice"))
+        parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
 
-    shards = -(-count // broadcast_entries)
-    parts = entries.withColumn("shard", F.pmod(F.xxhash64("name"), F.lit(shards)).cast("int"))
-    values = asked.select(F.explode(F.array(*added)).alias("value")).where(F.col("value").isNotNull()).distinct()
-    spread = values.select("value", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("value"), F.lit(SLICES)).cast("int").alias("slice"))
-    parts = parts.select("*", F.explode(F.sequence(F.lit(0), F.lit(SLICES - 1))).alias("slice"))
+        def probe_shard(some: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
+            return answers(some["value"], ValueIndex(ordered(shard[["name", *facts]].itertuples(index=False)), limit, short))
 
-    def probe_shard(some: pd.DataFrame, shard: pd.DataFrame) -> pd.DataFrame:
-        index = ValueIndex(ordered(shard[["name", *facts]].itertuples(index=False)), limit, short)
-        return pd.DataFrame([(v, *m) for v in some["value"] for m in index.lookup(v)], columns=["value", "distance", *facts])
-
-    won = spread.groupBy("shard", "slice").cogroup(parts.groupBy("shard", "slice")).applyInPandas(probe_shard, "value string, distance int, " + ", ".join(f"{c} bigint" for c in facts))
+        won = spread(asked, "shard", "slice").groupBy("shard", "slice").cogroup(spread(parts, "shard", "slice").groupBy("shard", "slice")).applyInPandas(probe_shard, schema)
     merged = won.groupBy("value").agg(F.array_sort(F.collect_set(F.struct("distance", *facts))).alias("won"))
-    merged = merged.select("value", F.filter("won", lambda m: m["distance"] == F.col("won")[0]["distance"]).alias("won"))
-    for a in added:
-        answer = merged.select(F.col("value").alias(a), "won")
-        asked = asked.join(answer, a, "left").withColumn(a, F.when(F.col(a).isNotNull(), F.coalesce("won", F.array().cast(result)))).drop("won")
-    return asked.select(*df.columns, *added)
+    return merged.select("value", F.filter("won", lambda m: m["distance"] == F.col("won")[0]["distance"]).alias("matches"))
+
+
+def with_answers(df: DataFrame, column: str, answers: DataFrame, name: str) -> DataFrame:
+    """``df`` plus the matches of a column's value: null where it holds no name, empty where it is not listed."""
+    kind = answers.schema["matches"].dataType
+    found = answers.select(F.col("value").alias("_value"), F.col("matches").alias("_matches"))
+    joined = df.withColumn("_value", F.when(holds_name(F.col(column)), F.col(column).cast("string"))).join(found, "_value", "left")
+    return joined.withColumn(name, F.when(F.col("_value").isNotNull(), F.coalesce("_matches", F.array().cast(kind)))).drop("_value", "_matches")
+
+
+def map_values(
+    df: DataFrame,
+    columns: list[str],
+    reference: DataFrame,
+    ref_id: str,
+    names: list[str],
+    carry: list[str] | None = None,
+    limit: int = 2,
+    abbreviations: dict[str, tuple[str, ...]] | None = None,
+    broadcast_entries: int = BROADCAST_ENTRIES,
+) -> DataFrame:
+    """``df`` plus, for each column, <column>_matches: array of (distance, ref_id, carried bigints), the closest entries.
+
+    An edit is an insertion, deletion, substitution or swap of neighbours after folding; at most ``limit`` are allowed,
+    fewer in names of under seven letters. Null stands for a value that holds no name (null, blank, punctuation,
+    "unknown"), an empty array for one that is not listed; ties of distance give every closest entry, by id. Repeated
+    rows stay, values of any length are read, empty tables and an empty list are allowed, entries with a null id or name
+    are left out. Columns of ``df`` with the names of the added ones are replaced.
+    """
+    added = [f"{c}_matches" for c in columns]
+    df = df.drop(*added)
+    kept = df.columns
+    values = df.select(F.explode(F.array(*[F.col(c).cast("string") for c in columns])).alias("value"))
+    answers = broadcast_if_small(cut_lineage(match_values(values, reference, ref_id, names, carry, limit, abbreviations, broadcast_entries)), BROADCAST_VALUES)
+    for column, name in zip(columns, added):
+        df = with_answers(df, column, answers, name)
+    return df.select(*kept, *added)

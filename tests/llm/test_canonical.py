@@ -54,6 +54,26 @@ def test_same_answers_broadcast_and_sharded(spark):
     assert [answers[0][i] if answers[0][i] is None else list(answers[0][i]) for i in range(len(want))] == want
 
 
+def test_long_values_do_not_depend_on_shards(spark):
+    listed = spark.createDataFrame([(1, "Paris"), (2, "A city with a name so long that nobody has ever written it on an envelope"), (3, "Port North Saint Lake"), (4, "Oslo")], "id bigint, name string")
+    typed = ["Paris (" + "x" * 140 + ")", "Paris " * 400, "Pt. Nth. St. Lk.", "n s p l m w e s n", "Oslo / " + "y" * 5000]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(typed)], "k bigint, typed string")
+    answers = []
+    for bound in (1000, 1):
+        out = map_values(df, ["typed"], listed, "id", ["name"], abbreviations=PLACE_ABBREVIATIONS, broadcast_entries=bound)
+        answers.append({r["k"]: [m["ref_id"] for m in r["typed_matches"]] for r in out.collect()})
+    assert answers[0] == answers[1] == {0: [1], 1: [], 2: [3], 3: [], 4: [4]}
+
+
+def test_late_pieces_of_long_descriptions(spark):
+    countries = spark.createDataFrame([(1, "Aland", None, None)], "country_id bigint, country string, official_name string, code3 string")
+    places = spark.createDataFrame([(10, "Wenistvik", None, 1, 5)], "place_id bigint, city string, alt_name string, country_id bigint, population bigint")
+    loc = ", ".join(["hills beyond the river"] * 100 + ["Wenistvik", "Aland"])
+    labels = spark.createDataFrame([(1, None, None, loc), (1, None, None, loc), (2, "tbd", None, "Aland")], "label_id bigint, city string, country string, loc string")
+    got = [(r["label_id"], r["city_ref"]) for r in map_label_places(labels, places, countries).collect()]
+    assert got.count((1, 10)) == 2 and got.count((2, None)) == 1
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([("Calinholt",)], "typed string")
     assert map_values(df, ["typed"], reference(spark).limit(0), "id", ["name"]).first()["typed_matches"] == []

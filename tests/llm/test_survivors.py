@@ -1,3 +1,5 @@
+import random
+
 from pyspark.sql import functions as F
 
 from seismark.llm.survivors import Field, surviving_records, survivors
@@ -34,3 +36,22 @@ def test_summed_votes_and_pivot(spark):
 
 def test_empty_table(spark):
     assert survivors(table(spark, ROWS).limit(0), "g", "id", "trust", "at", fields()).count() == 0
+
+
+def test_strict_weights_outvote_any_number_of_lesser_votes(spark, monkeypatch):
+    rng = random.Random(5)
+    rows = [(1, i, 3, f"2020-01-{1 + i % 28:02d}", "many", 1, "x") for i in range(500)] + [(1, 900, 3, "2020-02-01", "late", 2, "x"), (1, 901, 4, "2001-01-01", "trusted", None, "x")]
+    rows += [(g, 10_000 + 50 * g + k, rng.choice([None, 1, 2, 7]), rng.choice([None, "2020-01-01", "2020-01-02", "2021-06-01"]), rng.choice("abc"), rng.randint(0, 9), "x") for g in range(2, 60) for k in range(rng.randint(1, 12))]
+    want = {}
+    for g, i, trust, at, city, impact, _ in rows:
+        for name, value, usable in (("city", city, True), ("impact", impact, impact is not None and impact <= 5)):
+            if usable:
+                want[g, name] = max(want.get((g, name), ((-1, "", -1), None)), ((-1 if trust is None else trust, at or "", i), i))
+
+    def got():
+        return {(r["g"], r["field"]): r["id"] for r in survivors(table(spark, rows), "g", "id", "trust", "at", fields(), strict=True).collect()}
+
+    assert got() == {k: v[1] for k, v in want.items()}
+    # The sums decide: votes that all weigh the same elect others.
+    monkeypatch.setattr("seismark.llm.survivors._strict_votes", lambda levels: levels.groupBy("group", "field", "form").agg(F.max("top").alias("top"), F.lit(1.0).alias("support")))
+    assert got() != {k: v[1] for k, v in want.items()}
