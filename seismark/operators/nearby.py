@@ -3,8 +3,9 @@
 A bounded sample of the left points fixes a quadtree over longitude and latitude, so that dense areas get small cells.
 Each left point falls in exactly one leaf; each right point is copied to every leaf its search box touches, so the leaf
 of the left point is the reference that reports a pair once. Within a leaf a bulk-loaded R-tree finds candidates and the
-great-circle distance settles them. A leaf with more rows than a task should hold, as when a third of all rows share one
-coordinate, is split by a salt of the left rows, with the leaf's few right points copied to each part.
+great-circle distance settles them. A leaf with more rows or possible pairs than a task should hold, as when a third of
+all rows share one coordinate, is split by salts: its left rows into parts, its right rows into parts, and every part of
+the one side meets every part of the other.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seismark.session import spread
+
 EARTH_KM = 6371.0
 #: Bound on the left points taken to the driver to place the quadtree's splits; every row is joined.
 SAMPLE_ROWS = 20_000
-#: Left rows that one group of a task should hold, and the most leaves of the tree.
-ROWS_PER_GROUP, MOST_LEAVES = 50_000, 4_096
+#: Rows of a side and possible pairs that one group of a task should hold, and the most leaves of the tree.
+ROWS_PER_GROUP, PAIRS_PER_GROUP, MOST_LEAVES = 50_000, 20_000_000, 4_096
 _FANOUT = 16
 
 
@@ -131,24 +134,49 @@ def points_near(left: DataFrame, left_id: str, left_lat: str, left_lon: str, rig
     fraction = min(1.0, SAMPLE_ROWS / max(1, rows))
     sampled = a.select("lon", "lat").sample(fraction, seed=11).limit(2 * SAMPLE_ROWS).toPandas().to_numpy(dtype=float).reshape(-1, 2)
     boxes, shares = quadtree_leaves(sampled[:, 0], sampled[:, 1], ROWS_PER_GROUP / max(rows, 1) if rows > 8 * ROWS_PER_GROUP else 1 / 64)
-    parts = np.maximum(1, np.ceil(shares * rows / ROWS_PER_GROUP)).astype(np.int64)
     leaf_of = _leaf_of(boxes)
 
+    def leaves_touched(lon: np.ndarray, lat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of the point and of the leaf for every leaf that the search box of a point touches, once."""
+        owner, box = [], []
+        for i, (x, y) in enumerate(zip(lon, lat)):
+            for searched in search_boxes(x, y, radius_km):
+                owner.append(i)
+                box.append(searched)
+        owner, box = np.array(owner, dtype=np.int64), np.array(box).reshape(-1, 4)
+        point, leaf = [], []
+        for start in range(0, len(box), 1024):
+            b = box[start : start + 1024, :, None]
+            at, cell = np.nonzero((boxes[:, 0] <= b[:, 2]) & (boxes[:, 2] >= b[:, 0]) & (boxes[:, 1] <= b[:, 3]) & (boxes[:, 3] >= b[:, 1]))
+            point.append(owner[start + at])
+            leaf.append(cell)
+        both = np.unique(np.column_stack([np.concatenate(point or [owner]), np.concatenate(leaf or [owner])]), axis=0)
+        return both[:, 0], both[:, 1]
+
+    # How many rows of either side a leaf holds, by the samples, and into how many parts that splits them.
+    right_rows = b.count()
+    right_sample = b.select("lon", "lat").sample(min(1.0, SAMPLE_ROWS / max(1, right_rows)), seed=12).limit(2 * SAMPLE_ROWS).toPandas().to_numpy(dtype=float).reshape(-1, 2)
+    right_shares = np.bincount(leaves_touched(right_sample[:, 0], right_sample[:, 1])[1], minlength=len(boxes)) / max(1, len(right_sample))
+    left_held, right_held = shares * rows, right_shares * right_rows
+    right_parts = np.maximum(1, np.ceil(right_held / ROWS_PER_GROUP)).astype(np.int64)
+    parts = np.maximum(1, np.ceil(np.maximum(left_held / ROWS_PER_GROUP, left_held * right_held / right_parts / PAIRS_PER_GROUP))).astype(np.int64)
+
+    def salted(batch: pd.DataFrame, cell: np.ndarray, own: np.ndarray, copies: np.ndarray, names: tuple[str, str]) -> pd.DataFrame:
+        """The rows with their cell, their own salt under the first name, and a copy for each part of the other side."""
+        salt = (pd.util.hash_array(batch["id"].to_numpy()) % own[cell].astype(np.uint64)).astype(np.int64)
+        times = copies[cell]
+        out = batch.assign(cell=cell, **{names[0]: salt}).loc[batch.index.repeat(times)]
+        return out.assign(**{names[1]: np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)})[["id", "lat", "lon", "cell", "salt", "right_salt"]]
+
     def place_left(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             cell = leaf_of(batch["lon"].to_numpy(), batch["lat"].to_numpy())
-            salt = pd.util.hash_array(batch["id"].to_numpy()) % parts[cell].astype(np.uint64)
-            yield batch.assign(cell=cell, salt=salt.astype(np.int64))
+            yield salted(batch.reset_index(drop=True), cell, parts, right_parts, ("salt", "right_salt"))
 
     def place_right(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            out = []
-            for key, lat, lon in zip(batch["id"], batch["lat"], batch["lon"]):
-                touched = set()
-                for west, south, east, north in search_boxes(lon, lat, radius_km):
-                    touched.update(np.flatnonzero((boxes[:, 0] <= east) & (boxes[:, 2] >= west) & (boxes[:, 1] <= north) & (boxes[:, 3] >= south)).tolist())
-                out += [(key, lat, lon, cell, salt) for cell in sorted(touched) for salt in range(parts[cell])]
-            yield pd.DataFrame(out, columns=["id", "lat", "lon", "cell", "salt"])
+            point, cell = leaves_touched(batch["lon"].to_numpy(), batch["lat"].to_numpy())
+            yield salted(batch.iloc[point].reset_index(drop=True), cell, right_parts, parts, ("right_salt", "salt"))
 
     def refine(here: pd.DataFrame, there: pd.DataFrame) -> pd.DataFrame:
         here, there = here.drop_duplicates(["id", "lat", "lon"]), there.drop_duplicates(["id", "lat", "lon"])
@@ -174,8 +202,8 @@ def points_near(left: DataFrame, left_id: str, left_lat: str, left_lon: str, rig
         pairs = members.merge(pd.concat(pieces), on="spot")[["left_id", "right_id", "distance_km"]]
         return pairs.sort_values("distance_km", kind="stable").drop_duplicates(["left_id", "right_id"])
 
-    placed_a = a.mapInPandas(place_left, "id bigint, lat double, lon double, cell bigint, salt bigint")
-    placed_b = b.mapInPandas(place_right, "id bigint, lat double, lon double, cell bigint, salt bigint")
-    pairs = placed_a.groupBy("cell", "salt").cogroup(placed_b.groupBy("cell", "salt")).applyInPandas(refine, "left_id bigint, right_id bigint, distance_km double")
+    keys, placed = ("cell", "salt", "right_salt"), "id bigint, lat double, lon double, cell bigint, salt bigint, right_salt bigint"
+    placed_a, placed_b = spread(a.mapInPandas(place_left, placed), *keys), spread(b.mapInPandas(place_right, placed), *keys)
+    pairs = placed_a.groupBy(*keys).cogroup(placed_b.groupBy(*keys)).applyInPandas(refine, "left_id bigint, right_id bigint, distance_km double")
     # Points in several leaves can share an id.
     return pairs.groupBy("left_id", "right_id").agg(F.min("distance_km").alias("distance_km"))

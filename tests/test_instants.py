@@ -67,3 +67,8 @@ def test_empty_table_repeated_rows_and_clashing_names(spark):
     assert out.count() == 3 and out.columns.count("notation") == 1 and dict(out.dtypes)["epoch_s"] == "bigint"
     twice = normalise_instants(out, "txt", "src").select(F.col("epoch_s")).distinct().collect()
     assert [r[0] for r in twice] == [1577836800]
+
+
+def test_long_text_is_read_whole(spark):
+    got, _ = run(spark, [("s", " " * 400 + "2021-03-04" + "\t" * 300, None, None, None, None, None), ("s", "2021-03-04" + "." * 300, None, None, None, None, None)])
+    assert got[0]["epoch_s"] == int(datetime(2021, 3, 4, tzinfo=timezone.utc).timestamp()) and got[1]["epoch_s"] is None

@@ -64,3 +64,16 @@ def test_search_boxes_cover_the_circle():
         km = great_circle_km(np.full(50, lon), np.full(50, lat), other[:, 0], other[:, 1])
         for (x, y), d in zip(other, km):
             assert d > 40 or any(w <= x <= e and s <= y <= n for w, s, e, n in boxes)
+
+
+def test_hot_places_on_both_sides_are_split(spark, monkeypatch):
+    monkeypatch.setattr("seismark.operators.nearby.ROWS_PER_GROUP", 40)
+    monkeypatch.setattr("seismark.operators.nearby.PAIRS_PER_GROUP", 500)
+    left = [(i, 10.0, 20.0) for i in range(200)] + [(1000 + i, 10.0 + i / 50, 20.0) for i in range(50)]
+    right = [(i, 10.0, 20.0) for i in range(150)] + [(1000 + i, 10.0, 20.0 + i / 50) for i in range(50)]
+    pairs = near(spark, left, right, 30.0)
+    assert len(pairs) == len(set(pairs)) and set(pairs) == brute(left, right, 30.0)
+
+
+def test_only_unusable_points(spark):
+    assert near(spark, [(1, None, None)], [(1, 0.0, 0.0)], 40.0) == []
