@@ -1,13 +1,15 @@
 """Documents into containers of a fixed number of tokens, by bin completion.
 
 Containers are filled around the largest document left: the undominated fillings of the room beside it are enumerated one
-by one; partial solutions whose waste rules out fewer containers than the best known are given up. A best-fit packing is the first incumbent. Spark deals the documents out to groups of bounded token totals, packs the
-groups in parallel, and packs what the groups left in unfilled containers once more among itself.
+by one; partial solutions whose waste rules out fewer containers than the best known are given up. A best-fit packing is
+the first incumbent. Spark deals the documents out to groups of bounded token totals, packs the groups in parallel, and
+packs what the groups left in unfilled containers once more among itself.
 """
 
 from __future__ import annotations
 
 import bisect
+import math
 from collections.abc import Callable, Iterator
 from itertools import islice
 
@@ -16,11 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seismark.session import cut_lineage
+from seismark.session import cut_lineage, spread
 
 #: Tokens dealt to one group; at least so much of a container must be filled for it to stay as the first packing left it.
 GROUP_TOKENS, KEPT_FILL = 1_000_000, 0.995
-#: Containers built beyond one full packing, and steps of enumeration in all, before the best known packing is taken.
+#: Search budget of a group: containers built beyond one full packing, and steps of enumeration in all, before the best
+#: known packing is taken. None in the place of either is no limit, and without limits the search is exact.
 NODES, STEPS = 6_000, 2_400_000
 #: Fillings tried beside one document in the passes of the search, each with those limits; the last tries all undominated ones.
 WIDTHS = (2, 12, None)
@@ -109,7 +112,7 @@ def undominated_fillings(held: list[int], room: int, spend: Callable[[], bool])
                 yield waste, filling
 
 
-def _search(held: list[int], lengths: list[int], documents: int, capacity: int, total: int, bound: int, width: int | None, nodes: int, steps: int) -> list[list[int]] | None:
+def _search(held: list[int], lengths: list[int], documents: int, capacity: int, total: int, bound: int, width: int | None, nodes: float, steps: float) -> list[list[int]] | None:
     """Lengths per container of a packing in fewer than ``bound`` containers, trying ``width`` fillings beside each document."""
     held, least = list(held), -(-total // capacity)
 
@@ -167,8 +170,9 @@ def _search(held: list[int], lengths: list[int], documents: int, capacity: int,
     return solution
 
 
-def complete_bins(sizes: list[int], capacity: int, nodes: int = NODES, steps: int = STEPS) -> list[list[int]]:
+def complete_bins(sizes: list[int], capacity: int, nodes: int | None = NODES, steps: int | None = STEPS) -> list[list[int]]:
     """Indices per container by bin completion; never worse than best fit. Sizes lie in 1..capacity."""
+    nodes, steps = (math.inf if x is None else x for x in (nodes, steps))
     best = best_fit(sizes, capacity)
     total = sum(sizes)
     least = -(-total // capacity)
@@ -196,41 +200,42 @@ def complete_bins(sizes: list[int], capacity: int, nodes: int = NODES, steps: in
     return [[left[n].pop() for n in content] for content in solution]
 
 
-def pack_documents(sized: DataFrame, document: str, tokens: str, capacity: int, group_tokens: int = GROUP_TOKENS) -> DataFrame:
+def pack_documents(sized: DataFrame, document: str, tokens: str, capacity: int, group_tokens: int = GROUP_TOKENS, nodes: int | None = NODES, steps: int | None = STEPS) -> DataFrame:
     """document, part, tokens, container: every document in one container, split only if it alone exceeds ``capacity``.
 
     A longer document is cut into full containers and one remainder, numbered by part. No container holds more than
     ``capacity``. Null and empty documents take no room and have a null container. Repeated rows are documents of their
-    own; equal sizes are interchangeable; an empty table gives no rows.
+    own; equal sizes are interchangeable; an empty table gives no rows. ``nodes`` and ``steps`` are the search budget.
     """
-    base = sized.select(F.col(document).alias("document"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("size"))
+    # Repeated rows of one document are told apart by a number, which the checkpoint below keeps.
+    base = sized.select(F.col(document).alias("document"), F.monotonically_increasing_id().alias("row"), F.coalesce(F.col(tokens), F.lit(0)).cast("bigint").alias("size"))
     whole = F.floor(F.col("size") / capacity)
-    parts = base.select("document", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("part"))
-    items = cut_lineage(parts.select("document", F.col("part").cast("int").alias("part"), F.when(F.col("part") < whole, F.lit(capacity)).otherwise(F.col("size") - whole * capacity).cast("bigint").alias("tokens")))
+    parts = base.select("document", "row", "size", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)))).alias("part"))
+    items = cut_lineage(parts.select("document", "row", F.col("part").cast("int").alias("part"), F.when(F.col("part") < whole, F.lit(capacity)).otherwise(F.col("size") - whole * capacity).cast("bigint").alias("tokens")))
     nothing = items.where("tokens = 0").select("document", "part", "tokens", F.lit(None).cast("string").alias("container"))
-    full = items.where(F.col("tokens") == capacity).select("document", "part", "tokens", F.concat(F.lit("full-"), F.col("document").cast("string"), F.lit("-"), F.col("part").cast("string")).alias("container"))
+    full = items.where(F.col("tokens") == capacity).select("document", "part", "tokens", F.concat_ws("-", F.lit("full"), F.col("row").cast("string"), F.col("part").cast("string")).alias("container"))
 
     def packed(some: DataFrame, stage: str) -> DataFrame:
         total = some.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
         groups = max(1, -(-total // group_tokens))
 
         def pack(group: pd.DataFrame) -> pd.DataFrame:
-            group = group.sort_values(["tokens", "document", "part"]).reset_index(drop=True)
+            group = group.sort_values(["tokens", "row", "part"]).reset_index(drop=True)
             container = np.empty(len(group), dtype=np.int64)
-            bins = complete_bins(group["tokens"].tolist(), capacity)
+            bins = complete_bins(group["tokens"].tolist(), capacity, nodes, steps)
             for k, members in enumerate(bins):
                 container[members] = k
             group["container"] = [f"{stage}-{g}-{k}" for g, k in zip(group["grp"], container)]
             group["filled"] = group.groupby("container")["tokens"].transform("sum")
-            return group[["document", "part", "tokens", "container", "filled"]]
+            return group[["document", "row", "part", "tokens", "container", "filled"]]
 
         kind = some.schema["document"].dataType.simpleString()
-        dealt = some.withColumn("grp", F.pmod(F.xxhash64(F.col("document"), F.col("part"), F.lit(stage)), F.lit(groups)).cast("int"))
-        return dealt.groupBy("grp").applyInPandas(pack, f"document {kind}, part int, tokens bigint, container string, filled bigint")
+        dealt = some.withColumn("grp", F.pmod(F.xxhash64(F.col("row"), F.col("part"), F.lit(stage)), F.lit(groups)).cast("int"))
+        return spread(dealt, "grp").groupBy("grp").applyInPandas(pack, f"document {kind}, row bigint, part int, tokens bigint, container string, filled bigint")
 
     first = cut_lineage(packed(items.where((F.col("tokens") > 0) & (F.col("tokens") < capacity)), "a"))
-    kept = first.where(F.col("filled") >= KEPT_FILL * capacity).drop("filled")
-    again = packed(first.where(F.col("filled") < KEPT_FILL * capacity).select("document", "part", "tokens"), "b").drop("filled")
+    kept = first.where(F.col("filled") >= KEPT_FILL * capacity).drop("filled", "row")
+    again = packed(first.where(F.col("filled") < KEPT_FILL * capacity).select("document", "row", "part", "tokens"), "b").drop("filled", "row")
     placed = kept.unionByName(again).unionByName(full).unionByName(nothing)
     return placed.select(F.col("document").alias(document), "part", "tokens", "container")
 

@@ -77,6 +77,19 @@ def test_packing_keeps_every_document_whole(spark):
     assert pack_documents(df.limit(0), "doc", "n", 1000).count() == 0
 
 
+def test_repeated_long_documents_share_no_container(spark):
+    df = spark.createDataFrame([(1, 250), (1, 250), (2, 40), *[(3, 7)] * 50], "doc bigint, n bigint")
+    placed = pack_documents(df, "doc", "n", 100, group_tokens=200)
+    assert placed.groupBy("container").agg(F.sum("tokens").alias("t")).agg(F.max("t")).first()[0] <= 100
+    report = packing_report(placed, 100).first()
+    assert report["tokens"] == 250 * 2 + 40 + 350 and report["containers"] >= report["least_containers"]
+
+
+def test_exact_without_a_budget():
+    sizes = [7, 6, 5, 4, 4, 3, 3, 2, 9, 8, 1]
+    assert len(complete_bins(sizes, 13, nodes=None, steps=None)) == least_bins(sizes, 13)
+
+
 def test_mixing_reaches_its_shares(spark):
     rows = [(i, s, 20 + (i * 53) % 400) for i, s in enumerate(["a"] * 1500 + ["b"] * 300 + ["c"] * 900)] + [(9000, None, 5), (9001, "other", 5), (9002, "a", None), (9003, "a", 0)]
     df = spark.createDataFrame([(i, s, n, 1) for i, s, n in rows], "doc bigint, src string, n bigint, copies int").drop("copies")
