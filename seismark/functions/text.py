@@ -87,17 +87,34 @@ def strip_fences(response: Column) -> Column:
     return F.trim(F.regexp_replace(response, r"(?im)^\s*```(?:json)?\s*|\s*```\s*$", ""))
 
 
+def judged_responses(batches: DataFrame, response: str, items: str) -> DataFrame:
+    """``batches`` plus parsed (array of labels) and failure: null, or why no label of the response can be used.
+
+    'missing' is a null or blank response, 'malformed' one that is no JSON array of objects, 'wrong_length' one whose
+    number of objects is not ``items``. A response counts as a whole, with or without a code fence around it.
+    """
+    bare = strip_fences(F.col(response))
+    parsed = F.when(bare.startswith("[") & bare.endswith("]"), F.from_json(bare, LABEL_SCHEMA))
+    judged = batches.withColumn("parsed", parsed)
+    failure = F.when(F.coalesce(bare, F.lit("")) == "", "missing").when(F.col("parsed").isNull(), "malformed").when(F.size("parsed") != F.col(items), "wrong_length")
+    return judged.withColumn("failure", failure)
+
+
 def parse_label_response(batches: DataFrame, batch: str, response: str, items: str) -> DataFrame:
     """batch, position and the fields of each labelled item of a response.
 
-    ``items`` is the number of articles asked for; a response that is no array of that many objects fails as a whole.
+    ``items`` is the number of articles asked for; a response that is no array of that many objects fails as a whole and
+    is among the ``failed_responses``.
     """
-    bare = strip_fences(F.col(response))
-    parsed = F.when(bare.startswith("["), F.from_json(bare, LABEL_SCHEMA))
-    whole = batches.withColumn("parsed", parsed).where(F.col("parsed").isNotNull() & (F.size("parsed") == F.col(items)))
+    whole = judged_responses(batches, response, items).where("failure IS NULL")
     return whole.select(batch, F.posexplode("parsed").alias("position", "label")).select(batch, "position", "label.*")
 
 
+def failed_responses(batches: DataFrame, batch: str, response: str, items: str) -> DataFrame:
+    """batch, failure of the responses to ask for again."""
+    return judged_responses(batches, response, items).where("failure IS NOT NULL").select(batch, "failure")
+
+
 def prompt_block(title: Column, published: Column, content: Column) -> Column:
     return F.format_string("Title: %s\nPublish Date: %s\nContent: %s", F.coalesce(title, F.lit("")), F.coalesce(published, F.lit("")), F.coalesce(content, F.lit("")))
 

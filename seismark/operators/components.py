@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 from seismark.session import cut_lineage
 
 MOST_ROUNDS = 60
+#: Edges left after the first pass that one task joins on its own; more are contracted over all tasks.
+EDGES_OF_ONE_TASK = 200_000
 
 
 def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Edges of a batch replaced by a spanning forest towards the least node of each of its components."""
     for batch in batches:
+        if batch.empty:
+            continue
         parent: dict[int, int] = {}
 
         def root(x: int) -> int:
@@ -32,6 +36,11 @@ def _local_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": [root(x) for x in nodes], "b": nodes}, dtype="int64")
 
 
+def _whole_forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same for all edges of a task."""
+    yield from _local_forest(iter([pd.concat([pd.DataFrame({"a": [], "b": []}, dtype="int64"), *batches])]))
+
+
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
@@ -48,12 +57,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """node, component (bigint): every node that has an edge to another node, and the least node it is connected with.
 
     Self-loops and edges with a null end are left out; repeated and turned edges change nothing. No component is ever
-    gathered in one place: after each task has joined what it holds, edges are only grouped by node, and a round's edges
+    gathered in one place, unless no more than ``EDGES_OF_ONE_TASK`` edges are left in all: after each task has joined what it holds, edges are only grouped by node, and a round's edges
     are written to the checkpoint folder. Raises RuntimeError if ``MOST_ROUNDS`` do not suffice rather than give a
     partial answer.
     """
     lean = edges.select(F.least(F.col(a), F.col(b)).cast("bigint").alias("a"), F.greatest(F.col(a), F.col(b)).cast("bigint").alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b")
     current = cut_lineage(lean.mapInPandas(_local_forest, "a bigint, b bigint").distinct())
+    if current.count() <= EDGES_OF_ONE_TASK:
+        current = cut_lineage(current.coalesce(1).mapInPandas(_whole_forest, "a bigint, b bigint"))
     fingerprint = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = fingerprint(current)
     for _ in range(MOST_ROUNDS):

@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from seismark.session import broadcast_if_small, cut_lineage
+
+#: Leading hex digits of a hash by which a group is counted in buckets, and the buckets that are broadcast at most.
+BUCKET_DIGITS, BROADCAST_BUCKETS = 3, 2_000_000
+
 
 def month_tasks(first: Column, last: Column, today: Column) -> Column:
     """Array of (month_start, month_end) from the month of ``first`` to that of ``last``, ends capped at ``today``."""
@@ -28,12 +33,38 @@ def strata_sample_sizes(df: DataFrame, strata: list[str], weight: Column, total:
     return sizes.crossJoin(F.broadcast(whole)).select(*strata, "stratum_size", F.bround(share, 0).cast("bigint").alias("sample_size"))
 
 
+def first_by_hash(df: DataFrame, group: list[str], limits: DataFrame | None, limit: Column, key: Column, seed: int, name: str) -> DataFrame:
+    """``df`` plus a boolean: whether a row is among the first of its group in the order of a seeded hash of ``key``.
+
+    ``limit`` is an expression on ``_size``, the rows of the group, and the columns of ``limits``, which has one row per
+    group; groups it leaves out, and limits of null, have none. The rows are counted per group and leading digits of
+    the hash, and only those of the one bucket in which the limit falls are put in order, so a group may hold any share
+    of the table. Nulls in the group's columns are values like others.
+    """
+    code = F.md5(F.concat(key, F.lit(str(seed))))
+    coded = df.withColumns({"_key": key, "_code": code, "_bucket": F.coalesce(F.substring(code, 1, BUCKET_DIGITS), F.lit(""))})
+    counts = coded.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    whole = Window.partitionBy(*group)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    facts = counts.select("*", before.alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    marked = [f"_group{i}" for i in range(len(group))]
+    facts = facts.withColumnsRenamed({**dict(zip(group, marked)), "_bucket": "_of_bucket"})
+    if limits is not None:
+        facts = facts.join(limits, [F.col(m).eqNullSafe(F.col(c)) for m, c in zip(marked, group)])
+    facts = facts.select(*marked, "_of_bucket", (F.coalesce(limit, F.lit(0)) - F.col("_before")).alias("_left"), "_n")
+    facts = broadcast_if_small(cut_lineage(facts), BROADCAST_BUCKETS)
+    same = [F.col(c).eqNullSafe(F.col(m)) for c, m in zip((*group, "_bucket"), (*marked, "_of_bucket"))]
+    met = coded.join(facts, same, "left").drop(*marked, "_of_bucket").withColumn("_left", F.coalesce("_left", F.lit(0)))
+    undecided = (F.col("_left") > 0) & (F.col("_left") < F.col("_n"))
+    order = F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy("_code", "_key"))
+    ordered = met.where(undecided).withColumn(name, order <= F.col("_left"))
+    decided = met.where(~F.coalesce(undecided, F.lit(False))).withColumn(name, F.col("_left") > 0)
+    return decided.unionByName(ordered).drop("_key", "_code", "_bucket", "_left", "_n")
+
+
 def stratified_sample(df: DataFrame, strata: list[str], sizes: DataFrame, key: Column, seed: int) -> DataFrame:
     """At most sample_size rows of each stratum in the order of a seeded hash of ``key``; null-safe on the strata."""
-    condition = [df[c].eqNullSafe(sizes[c]) for c in strata]
-    drawn = df.join(sizes, condition).select(df["*"], sizes["sample_size"])
-    order = F.row_number().over(Window.partitionBy(*strata).orderBy(F.md5(F.concat(key, F.lit(str(seed)))), key))
-    return drawn.withColumn("drawn", order).where("drawn <= sample_size").drop("drawn", "sample_size")
+    return first_by_hash(df, strata, sizes.select(*strata, "sample_size"), F.col("sample_size"), key, seed, "_drawn").where("_drawn").drop("_drawn")
 
 
 def running_offsets(df: DataFrame, position: str, amount: Column, name: str = "offset", width: int = 4096) -> DataFrame:
@@ -70,9 +101,7 @@ def batch_completeness(items: DataFrame, position: str, processed: DataFrame, si
 
 def seeded_split(df: DataFrame, label: list[str], key: Column, seed: int, test_share: float) -> DataFrame:
     """``df`` plus is_test: per label, the first share of rows in the order of a seeded hash, rounded up."""
-    sample = F.row_number().over(Window.partitionBy(*label).orderBy(F.md5(F.concat(key, F.lit(str(seed)))), key))
-    size = F.count(F.lit(1)).over(Window.partitionBy(*label))
-    return df.withColumn("is_test", sample <= F.ceil(size * test_share))
+    return first_by_hash(df, label, None, F.ceil(F.col("_size") * test_share), key, seed, "is_test")
 
 
 def fold_of(key: Column, seed: int, folds: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,8 +12,8 @@ from seismark.functions import text as tx
 from seismark.operators import events as ev
 from seismark.operators import ingest, models, sentiment, stocks
 from seismark.operators.dataset import ArticleSet, distributions, strict_date
-from seismark.operators.gazetteer import gazetteer, places_in
-from seismark.session import broadcast_if_small, cut_lineage
+from seismark.operators.gazetteer import ACCENTED, PLAIN, gazetteer, places_in, plain_name
+from seismark.session import broadcast_if_small, cut_lineage, shared_folder, spread
 from seismark.sources import read_table
 from seismark.streaming.sessions import drain, file_stream, gap_sessions
 
@@ -114,12 +114,13 @@ def url_keep_first(spark: SparkSession, folder: str) -> DataFrame:
 def month_task_grid(spark: SparkSession, folder: str) -> DataFrame:
     """Fetch tasks of country, search term and month that no link has come from yet.
 
-    The grid spans the months and two vocabularies, of which one row holds the distinct words.
+    Each country meets the one row that holds the months and the search terms, so the grid is made where the countries lie.
     """
     links = read_table(spark, folder, "links", "country", "query", "date").select("country", "query", F.to_date(F.try_to_timestamp("date", F.lit("yyyyMMdd'T'HHmmss'Z'"))).alias("day"))
-    span = links.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.collect_set("country").alias("countries"), F.collect_set("query").alias("terms"))
-    grid = span.select("countries", "terms", F.explode(ingest.month_tasks(F.col("lo"), F.col("hi"), F.col("hi"))).alias("m")).select("m.*", "terms", F.explode("countries").alias("country"))
-    grid = grid.select("month_start", "month_end", "country", F.explode("terms").alias("query"))
+    span = links.agg(F.min("day").alias("lo"), F.max("day").alias("hi"), F.collect_set("query").alias("terms"))
+    span = span.select("terms", ingest.month_tasks(F.col("lo"), F.col("hi"), F.col("hi")).alias("months"))
+    grid = spread(links.select("country").where(F.col("country").isNotNull()).distinct(), "country").crossJoin(F.broadcast(span))
+    grid = grid.select("country", "terms", F.explode("months").alias("m")).select("country", "m.*", F.explode("terms").alias("query"))
     done = links.select("country", "query", F.to_date(F.trunc("day", "month")).alias("month_start")).distinct()
     return grid.join(done, ["country", "query", "month_start"], "left_anti").select("country", "query", "month_start", "month_end")
 
@@ -201,15 +202,46 @@ def unique_events_temporal(spark: SparkSession, folder: str) -> DataFrame:
 
 
 
-@query("spatial_clusters")
+def _km_sql(a: str, b: str) -> str:
+    return f"2 * 6371.0 * asin(sqrt(least(1.0, power(sin(radians({b}.lat - {a}.lat) / 2), 2) + cos(radians({a}.lat)) * cos(radians({b}.lat)) * power(sin(radians({b}.lon - {a}.lon) / 2), 2))))"
+
+
+def _cluster_sql(where: str) -> str:
+    """Clusters of the labels' points: every point takes the least point that a chain of steps of 100 km leads to."""
+    return f"""
+    WITH RECURSIVE pts AS (SELECT DISTINCT latitude AS lat, longitude AS lon FROM labels WHERE latitude BETWEEN -90 AND 90 AND longitude BETWEEN -180 AND 180 {where}),
+         near AS (SELECT a.lat AS lat, a.lon AS lon, b.lat AS to_lat, b.lon AS to_lon FROM pts a JOIN pts b ON {_km_sql("a", "b")} <= 100.0),
+         reached AS (SELECT lat, lon, lat AS to_lat, lon AS to_lon FROM pts UNION SELECT r.lat, r.lon, n.to_lat, n.to_lon FROM reached r JOIN near n ON r.to_lat = n.lat AND r.to_lon = n.lon),
+         clustered AS (SELECT lat, lon, min(ROW(to_lat, to_lon)) AS least FROM reached GROUP BY lat, lon)
+    """
+
+
+@query("spatial_clusters", _cluster_sql("") + " SELECT lat, lon, struct_extract(least, 1) AS cluster_lat, struct_extract(least, 2) AS cluster_lon FROM clustered")
 def spatial_clusters(spark: SparkSession, folder: str) -> DataFrame:
-    return ev.spatial_clusters(read_table(spark, folder, "labels", "latitude", "longitude"), "latitude", "longitude", 100.0)
+    clusters = ev.spatial_clusters(read_table(spark, folder, "labels", "latitude", "longitude"), "latitude", "longitude", 100.0)
+    return clusters.select("lat", "lon", *[F.split("loc_cluster", ",")[i].cast("double").alias(f"cluster_{c}") for i, c in enumerate(("lat", "lon"))])
 
 
 def _dated_labels(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "labels").where("event_occured = 1").withColumn("day", strict_date(F.col("dt")))
 
 
+@query(
+    "unique_events_facts",
+    _cluster_sql(f"AND event_occured = 1 AND ({_DAY}) IS NOT NULL")
+    + f""", r AS (SELECT l.event, {_DAY} AS day, l.impact, l.latitude, l.longitude, c.least FROM labels l JOIN clustered c ON l.latitude = c.lat AND l.longitude = c.lon WHERE l.event_occured = 1 AND ({_DAY}) IS NOT NULL),
+          g AS (SELECT DISTINCT event, least, day FROM r WHERE event IS NOT NULL),
+          o AS (SELECT *, CASE WHEN date_diff('day', lag(day) OVER w, day) > 3 THEN 1 ELSE 0 END AS starts FROM g WINDOW w AS (PARTITION BY event, least ORDER BY day)),
+          t AS (SELECT event, least, day, sum(starts) OVER (PARTITION BY event, least ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM o)
+          SELECT r.event, min(r.day) AS dt, max(r.impact) AS impact, count(*) AS n_reports, round(avg(r.latitude), 6) AS latitude, round(avg(r.longitude), 6) AS longitude, date_diff('day', min(r.day), max(r.day))::INT AS span_days
+          FROM r LEFT JOIN t ON r.event = t.event AND r.least = t.least AND r.day = t.day GROUP BY r.event, r.least, coalesce(t.run, -1)""",
+)
+def unique_events_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The unique events without their score: what the reports of each agree on."""
+    events = ev.unique_events(_dated_labels(spark, folder), scored=False)
+    return events.select("event", "dt", "impact", "n_reports", *[F.round(c, 6).alias(c) for c in ("latitude", "longitude")], "span_days")
+
+
 @query("unique_events_scored")
 def unique_events_scored(spark: SparkSession, folder: str) -> DataFrame:
     return ev.unique_events(_dated_labels(spark, folder))
@@ -217,7 +249,7 @@ def unique_events_scored(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("confident_events")
 def confident_events(spark: SparkSession, folder: str) -> DataFrame:
-    return unique_events_scored(spark, folder).where(F.col("confidence") >= 0.7)
+    return unique_events_scored(spark, folder).where(F.col("confidence") >= 0.5)
 
 
 _STEPS_SQL = f"""
@@ -258,9 +290,13 @@ def event_return_corr(spark: SparkSession, folder: str) -> DataFrame:
     return table.select("event", *[F.round(f"corr_{k}d", 6).alias(f"corr_{k}d") for k in (1, 3, 7)])
 
 
-@query("text_clean", "SELECT DISTINCT index_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(title), '’', ''''), 'won''t', 'will not'), 'can''t', 'can not'), 'n''t', ' not'), '''re', ' are'), '''ve', ' have'), '''ll', ' will'), '''m', ' am'), 'it''s', 'it is'), 'that''s', 'that is'), '[\\p{P}+]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM articles")
+def _whole_text():
+    return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
+
+
+@query("text_clean", "SELECT DISTINCT index_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(coalesce(title, '') || ' ' || coalesce(content, '')), '’', ''''), 'won''t', 'will not'), 'can''t', 'can not'), 'n''t', ' not'), '''re', ' are'), '''ve', ' have'), '''ll', ' will'), '''m', ' am'), 'it''s', 'it is'), 'that''s', 'that is'), '[\\p{P}+]', '', 'g'), '\\s+', ' ', 'g')) AS cleaned FROM articles")
 def text_clean(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "articles", "index_id", "title").select("index_id", tx.clean_text(F.col("title")).alias("cleaned")).distinct()
+    return read_table(spark, folder, "articles", "index_id", "title", "content").select("index_id", tx.clean_text(_whole_text()).alias("cleaned")).distinct()
 
 
 _WORDS_SQL = "WITH w AS (SELECT index_id, unnest(list_filter(string_split(regexp_replace(lower(title), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: x <> '')) AS token FROM (SELECT DISTINCT index_id, title FROM articles)), b AS (SELECT index_id, token, count(*) AS n FROM w GROUP BY ALL)"
@@ -281,27 +317,188 @@ def tokens_topk(spark: SparkSession, folder: str) -> DataFrame:
     return _title_bag(spark, folder).groupBy("token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(100)
 
 
-@query("topic_tokens")
+def _sql_list(words: tuple[str, ...]) -> str:
+    return ", ".join(f"'{w}'" for w in words)
+
+
+_TOPIC_SQL = f"""
+    WITH a AS (SELECT DISTINCT index_id, title, list_filter(string_split(regexp_replace(lower(title), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x <> '') AS words FROM articles),
+         k AS (SELECT index_id, title, list_filter(list_transform(list_filter(words, lambda w: w NOT IN ({_sql_list((*tx.STOP_WORDS, *tx.NEWS_WORDS))}) AND length(w) > 2), lambda w: regexp_replace(w, '[0-9]+', '', 'g')), lambda w: length(w) > 2) AS kept FROM a)
+    SELECT index_id, array_to_string(list_transform(kept, lambda w: CASE WHEN regexp_matches(w, '..ies$') THEN regexp_replace(w, 'ies$', 'y') WHEN regexp_matches(w, '(?:ss|ch|sh|x)es$') THEN regexp_replace(w, 'es$', '') WHEN regexp_matches(w, '[^su]s$') AND length(w) > 3 THEN regexp_replace(w, 's$', '') ELSE w END), ' ') AS tokens,
+           len(regexp_extract_all(title, '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_\\s]'))::INT AS estimate FROM k
+"""
+
+
+@query("topic_tokens", _TOPIC_SQL)
 def topic_tokens(spark: SparkSession, folder: str) -> DataFrame:
-    return read_table(spark, folder, "articles", "index_id", "title").distinct().select("index_id", tx.topic_tokens(F.col("title")).alias("tokens"), tx.token_estimate(F.col("title")).alias("estimate"))
+    return read_table(spark, folder, "articles", "index_id", "title").distinct().select("index_id", F.array_join(tx.topic_tokens(F.col("title")), " ").alias("tokens"), tx.token_estimate(F.col("title")).alias("estimate"))
+
+
+_CONTENT_SQL = "WITH w AS (SELECT index_id, unnest(list_filter(string_split(regexp_replace(lower(content), '[^\\p{L}\\p{N}_]+', ' ', 'g'), ' '), lambda x: length(x) >= 2)) AS token FROM (SELECT DISTINCT index_id, content FROM articles)), b AS (SELECT index_id, token, count(*) AS n FROM w GROUP BY ALL)"
+
+
+def _content_bag(spark: SparkSession, folder: str) -> DataFrame:
+    """The words of two letters and more of every article's whole content."""
+    contents = read_table(spark, folder, "articles", "index_id", "content").distinct()
+    return models.bag_of_words(contents, "index_id", F.filter(tx.words(F.col("content")), lambda w: F.length(w) >= 2))
 
 
 @query(
     "tfidf_sklearn",
-    _WORDS_SQL + ", d AS (SELECT token, count(*) AS df FROM b GROUP BY token), r AS (SELECT index_id, token, n * (ln((1 + (SELECT count(DISTINCT index_id) FROM articles)) / (1 + df)) + 1) AS raw FROM b JOIN d USING (token)) SELECT index_id, token, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY index_id)), 6) AS weight FROM r",
+    _CONTENT_SQL + ", d AS (SELECT token, count(*) AS df FROM b GROUP BY token), r AS (SELECT index_id, token, n * (ln((1 + (SELECT count(DISTINCT index_id) FROM articles)) / (1 + df)) + 1) AS raw FROM b JOIN d USING (token)) SELECT index_id, token, round(raw / sqrt(sum(raw * raw) OVER (PARTITION BY index_id)), 6) AS weight FROM r",
 )
 def tfidf_sklearn(spark: SparkSession, folder: str) -> DataFrame:
     documents = read_table(spark, folder, "articles", "index_id").distinct().count()
-    return models.tfidf(_title_bag(spark, folder), "index_id", documents).select("index_id", "token", F.round("weight", 6).alias("weight"))
+    return models.tfidf(_content_bag(spark, folder), "index_id", documents).select("index_id", "token", F.round("weight", 6).alias("weight"))
 
 
 @query(
     "nb_multinomial",
-    _WORDS_SQL + ", q AS (SELECT DISTINCT index_id, query FROM articles WHERE query IS NOT NULL), c AS (SELECT query, token, sum(n) AS n FROM b JOIN q USING (index_id) GROUP BY ALL) SELECT query, token, round(ln((n + 1) / (sum(n) OVER (PARTITION BY query) + (SELECT count(DISTINCT token) FROM c))), 6) AS log_probability FROM c",
+    _CONTENT_SQL + ", q AS (SELECT DISTINCT index_id, query FROM articles WHERE query IS NOT NULL), c AS (SELECT query, token, sum(n) AS n FROM b JOIN q USING (index_id) GROUP BY ALL) SELECT query, token, round(ln((n + 1) / (sum(n) OVER (PARTITION BY query) + (SELECT count(DISTINCT token) FROM c))), 6) AS log_probability FROM c",
 )
 def nb_multinomial(spark: SparkSession, folder: str) -> DataFrame:
     classes = read_table(spark, folder, "articles", "index_id", "query").where("query IS NOT NULL").distinct()
-    return models.naive_bayes_terms(_title_bag(spark, folder), "index_id", classes, "query").select("query", "token", F.round("log_probability", 6).alias("log_probability"))
+    return models.naive_bayes_terms(_content_bag(spark, folder), "index_id", classes, "query").select("query", "token", F.round("log_probability", 6).alias("log_probability"))
+
+
+#: Tokens of the impact models.
+IMPACT_TOKENS = 10_000
+
+
+_IMPACT_SQL = f"""
+    {_CONTENT_SQL},
+    r AS (SELECT DISTINCT label_id, index_id, impact FROM labels WHERE impact BETWEEN 0 AND 5 AND index_id IN (SELECT index_id FROM articles WHERE content IS NOT NULL)),
+    s AS (SELECT *, row_number() OVER (PARTITION BY impact ORDER BY md5(CAST(label_id AS VARCHAR) || '100'), CAST(label_id AS VARCHAR)) <= ceil(count(*) OVER (PARTITION BY impact) * 0.3) AS is_test FROM r),
+    t AS (SELECT index_id, count(*) AS times FROM s WHERE NOT is_test GROUP BY 1),
+    v AS (SELECT token, sum(n * times) AS total, sum(times) AS df FROM b JOIN t USING (index_id) GROUP BY token ORDER BY total DESC, token LIMIT {IMPACT_TOKENS}),
+    f0 AS (SELECT index_id, token, n * (ln((1 + (SELECT sum(times) FROM t)) / (1 + df)) + 1) AS raw FROM b JOIN v USING (token)),
+    f1 AS (SELECT index_id, token, raw / sqrt(sum(raw * raw) OVER (PARTITION BY index_id)) AS weight FROM f0),
+    h AS (SELECT DISTINCT index_id, length(content) AS content_length, len(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x IN ({", ".join(f"'{w}'" for w in sentiment.POSITIVE)}))) AS pos_wrds,
+          len(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x IN ({", ".join(f"'{w}'" for w in sentiment.NEGATIVE)}))) AS neg_wrds FROM articles WHERE content IS NOT NULL)
+"""
+
+
+def _impact_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """label_id, index_id, impact and is_test of the labels with an impact of 0 to 5 on an article with content."""
+    labels = read_table(spark, folder, "labels", "label_id", "index_id", "impact").where(F.col("impact").between(0, 5)).distinct()
+    held = read_table(spark, folder, "articles", "index_id", "content").where(F.col("content").isNotNull()).select("index_id").distinct()
+    return cut_lineage(ingest.seeded_split(labels.join(held, "index_id", "left_semi"), ["impact"], F.col("label_id").cast("string"), 100, 0.3))
+
+
+def _content_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    content = F.col("content")
+    rows = read_table(spark, folder, "articles", "index_id", "content").where(content.isNotNull())
+    return rows.select("index_id", F.length(content).alias("content_length"), sentiment.count_of(content, sentiment.POSITIVE).alias("pos_wrds"), sentiment.count_of(content, sentiment.NEGATIVE).alias("neg_wrds")).distinct()
+
+
+def _impact_weights(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """index_id, token, weight: TF-IDF of the content, fitted on the training rows."""
+    bag = cut_lineage(_content_bag(spark, folder).join(rows.select("index_id").distinct(), "index_id", "left_semi"))
+    vocabulary, _ = models.fitted_vocabulary(bag, "index_id", rows.where("NOT is_test"), IMPACT_TOKENS)
+    return cut_lineage(models.transformed(bag, "index_id", F.broadcast(cut_lineage(vocabulary))))
+
+
+@query(
+    "impact_features",
+    _IMPACT_SQL + "SELECT s.label_id, s.impact, s.is_test, h.content_length, h.pos_wrds, h.neg_wrds, count(f1.token) AS terms, round(coalesce(sum(f1.weight), 0), 6) AS weight FROM s JOIN h USING (index_id) LEFT JOIN f1 USING (index_id) GROUP BY ALL",
+)
+def impact_features(spark: SparkSession, folder: str) -> DataFrame:
+    """What the impact models see of each label's article: the numbers and the extent of its TF-IDF weights."""
+    rows = _impact_rows(spark, folder)
+    extent = _impact_weights(spark, folder, rows).groupBy("index_id").agg(F.count(F.lit(1)).alias("terms"), F.sum("weight").alias("weight"))
+    joined = rows.join(_content_numbers(spark, folder), "index_id").join(extent, "index_id", "left")
+    return joined.select("label_id", "impact", "is_test", "content_length", "pos_wrds", "neg_wrds", F.coalesce("terms", F.lit(0)).alias("terms"), F.round(F.coalesce("weight", F.lit(0.0)), 6).alias("weight"))
+
+
+_NB_SQL = (
+    _IMPACT_SQL
+    + """, f AS (SELECT index_id, token, weight FROM f1 UNION ALL SELECT index_id, '#content_length', content_length FROM h UNION ALL SELECT index_id, '#pos_wrds', pos_wrds FROM h UNION ALL SELECT index_id, '#neg_wrds', neg_wrds FROM h),
+    c AS (SELECT index_id, impact, count(*) AS times FROM s WHERE NOT is_test GROUP BY ALL),
+    k AS (SELECT impact, token, sum(weight * times) AS held FROM f JOIN c USING (index_id) GROUP BY ALL),
+    p AS (SELECT impact, sum(times) AS times FROM c GROUP BY impact), z AS (SELECT impact, sum(held) AS total FROM k GROUP BY impact),
+    g AS (SELECT p.impact, a.token, ln((coalesce(k.held, 0) + 1) / (z.total + (SELECT count(DISTINCT token) FROM k))) AS chance FROM p JOIN z USING (impact) CROSS JOIN (SELECT DISTINCT token FROM k) a LEFT JOIN k ON k.impact = p.impact AND k.token = a.token),
+    o AS (SELECT f.index_id, g.impact, sum(f.weight * g.chance) AS score FROM f JOIN g USING (token) WHERE f.index_id IN (SELECT index_id FROM s WHERE is_test) GROUP BY ALL),
+    y AS (SELECT o.index_id, o.impact, row_number() OVER (PARTITION BY o.index_id ORDER BY o.score + ln(p.times / (SELECT sum(times) FROM p)) DESC, o.impact) AS rn FROM o JOIN p USING (impact)),
+    n AS (SELECT s.label_id, s.impact, y.impact AS prediction FROM s JOIN y USING (index_id) WHERE s.is_test AND y.rn = 1)"""
+)
+
+
+def _bayes(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _impact_rows(spark, folder)
+    numbers = _content_numbers(spark, folder)
+    cells = F.explode(F.array(*[F.struct(F.lit(f"#{c}").alias("token"), F.col(c).cast("double").alias("weight")) for c in ("content_length", "pos_wrds", "neg_wrds")])).alias("cell")
+    features = _impact_weights(spark, folder, rows).unionByName(numbers.select("index_id", cells).select("index_id", "cell.*"))
+    return models.bayes_predictions(features, "index_id", rows.where("NOT is_test"), rows.where("is_test"), "label_id", "impact")
+
+
+@query("nb_predict", _NB_SQL + " SELECT label_id, impact, prediction FROM n")
+def nb_predict(spark: SparkSession, folder: str) -> DataFrame:
+    return _bayes(spark, folder)
+
+
+_REPORT_SQL = """, q AS (SELECT impact AS class FROM n UNION SELECT prediction FROM n),
+    e AS (SELECT class, (SELECT count(*) FROM n WHERE impact = class) AS support, (SELECT count(*) FROM n WHERE impact = class AND prediction = class) AS hit, (SELECT count(*) FROM n WHERE prediction = class) AS said FROM q),
+    m AS (SELECT class, CASE WHEN said = 0 THEN 1.0 ELSE hit / said END AS pr, CASE WHEN support = 0 THEN 1.0 ELSE hit / support END AS rc, support, hit FROM e),
+    u AS (SELECT *, CASE WHEN pr + rc = 0 THEN 0.0 ELSE 2 * pr * rc / (pr + rc) END AS f1 FROM m)
+"""
+
+
+@query(
+    "nb_report_averages",
+    _NB_SQL
+    + _REPORT_SQL
+    + """ SELECT 'accuracy' AS average, round(sum(hit) / sum(support), 6) AS precision, round(sum(hit) / sum(support), 6) AS recall, round(sum(hit) / sum(support), 6) AS f1, sum(support)::BIGINT AS support FROM u
+          UNION ALL SELECT 'macro', round(avg(pr), 6), round(avg(rc), 6), round(avg(f1), 6), sum(support)::BIGINT FROM u
+          UNION ALL SELECT 'weighted', round(sum(pr * support) / sum(support), 6), round(sum(rc * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6), sum(support)::BIGINT FROM u""",
+)
+def nb_report_averages(spark: SparkSession, folder: str) -> DataFrame:
+    averages = models.report_averages(models.classification_report(_bayes(spark, folder), "impact", "prediction"))
+    return averages.select("average", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], "support")
+
+
+def _impact_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    """label_id, impact, is_test and the feature vector of the impact models, fitted on the training rows."""
+    content = read_table(spark, folder, "articles", "index_id", "content").distinct()
+    tokens = content.select("index_id", F.filter(tx.words(F.col("content")), lambda w: F.length(w) >= 2).alias("tokens"))
+    rows = _impact_rows(spark, folder).join(tokens, "index_id").join(_content_numbers(spark, folder), "index_id")
+    rows = cut_lineage(rows.select("label_id", "impact", "is_test", "tokens", "content_length", "pos_wrds", "neg_wrds"))
+    fitted = models.tfidf_pipeline(rows.where("NOT is_test"), "tokens", ["content_length", "pos_wrds", "neg_wrds"], IMPACT_TOKENS)
+    return cut_lineage(fitted.transform(rows).select("label_id", "impact", "is_test", "features"))
+
+
+@query("rf_impact_articles")
+def rf_impact_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return models.forest_on_features(_impact_vectors(spark, folder), "label_id", "features", "impact")
+
+
+@query("lr_balanced_articles")
+def lr_balanced_articles(spark: SparkSession, folder: str) -> DataFrame:
+    return models.balanced_logistic_on_features(_impact_vectors(spark, folder), "label_id", "features", "impact")
+
+
+def _event_texts(spark: SparkSession, folder: str) -> DataFrame:
+    """label_id, tokens of title and content, label and is_test of each label on an article."""
+    articles = read_table(spark, folder, "articles", "index_id", "title", "content").distinct().select("index_id", tx.words(tx.clean_text(_whole_text())).alias("tokens"))
+    labels = read_table(spark, folder, "labels", "label_id", "index_id", "event_occured").where(F.col("event_occured").isNotNull()).distinct()
+    rows = labels.join(articles, "index_id").select("label_id", "tokens", F.col("event_occured").cast("double").alias("label"))
+    return cut_lineage(ingest.seeded_split(rows, ["label"], F.col("label_id").cast("string"), 103, 0.2))
+
+
+@query("classifier_folds")
+def classifier_folds(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy and log loss of the event classifier per fold of the training rows, for both parts, with their means."""
+    train = _event_texts(spark, folder).where("NOT is_test")
+    vectors = models.EventClassifier().features(train).transform(train).select("label_id", "features", "label")
+    return models.fold_figures(vectors, "label_id")
+
+
+@query("classifier_test")
+def classifier_test(spark: SparkSession, folder: str) -> DataFrame:
+    """Accuracy and log loss of the event classifier, fitted on all training rows, saved and loaded, on the test rows."""
+    rows = _event_texts(spark, folder)
+    path = f"{shared_folder(spark)}/classifier-{uuid.uuid4().hex}"
+    models.EventClassifier().fit(rows.where("NOT is_test")).save(path)
+    return models.EventClassifier.load(path).figures(rows.where("is_test"))
 
 
 @query(
@@ -329,23 +526,79 @@ def soft_compare_acc(spark: SparkSession, folder: str) -> DataFrame:
     return read_table(spark, folder, "labels", "labeller", "loc", "city").groupBy("labeller").agg(F.count(F.lit(1)).alias("rows_all"), F.sum(hit).alias("matching"), F.round(F.avg(hit), 6).alias("accuracy"))
 
 
-@query("gazetteer_extract")
-def gazetteer_extract(spark: SparkSession, folder: str) -> DataFrame:
-    """Places of each article's title; of its content only where the title names none."""
+def _plain_sql(text: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(regexp_replace(translate(lower({text}), '{ACCENTED}', '{PLAIN}'), '[''’]s\\b', '', 'g'), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+_GAZETTEER_SQL = f"""
+    WITH raw AS (SELECT unnest([country, official_name]) AS raw, 0 AS rank, 0::BIGINT AS smaller, country, 'country' AS kind FROM countries
+                 UNION ALL SELECT state, 1, -coalesce(population, 0), country, 'state' FROM places UNION ALL SELECT unnest([city, alt_name]), 2, -coalesce(population, 0), country, 'city' FROM places),
+         named AS (SELECT {_plain_sql("regexp_replace(raw, '(?i)^the ', '')")} AS name, rank, smaller, country, kind FROM raw WHERE raw IS NOT NULL),
+         names AS (SELECT name, kind, country FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY rank, smaller, country NULLS FIRST, kind) AS rn FROM named WHERE name <> '') WHERE rn = 1),
+         texts AS (SELECT DISTINCT index_id, 'title' AS part, string_split({_plain_sql("title")}, ' ') AS t FROM articles WHERE title IS NOT NULL UNION ALL SELECT DISTINCT index_id, 'content', string_split({_plain_sql("content")}, ' ') FROM articles WHERE content IS NOT NULL),
+         runs AS (SELECT index_id, part, unnest(list_concat(t, list_concat(list_transform(generate_series(1, len(t) - 1), lambda i: array_to_string(t[i:i + 1], ' ')), list_transform(generate_series(1, len(t) - 2), lambda i: array_to_string(t[i:i + 2], ' '))))) AS name FROM texts),
+         found AS (SELECT DISTINCT index_id, part, kind, name, country FROM runs JOIN names USING (name)),
+         extracted AS (SELECT index_id, kind, name, country FROM found f WHERE part = 'title' OR NOT EXISTS (SELECT 1 FROM found g WHERE g.index_id = f.index_id AND g.part = 'title'))
+"""
+
+
+def _extracted_places(spark: SparkSession, folder: str) -> DataFrame:
     articles = read_table(spark, folder, "articles", "index_id", "title", "content").dropDuplicates(["index_id"])
     names = broadcast_if_small(cut_lineage(gazetteer(read_table(spark, folder, "places"), read_table(spark, folder, "countries"))), 200_000)
     titled = cut_lineage(places_in(articles, "index_id", "title", names))
     rest = articles.join(titled.select("index_id").distinct(), "index_id", "left_anti")
-    return titled.unionByName(places_in(rest, "index_id", "content", names)).select("index_id", "kind", "name", "country").distinct()
+    return titled.unionByName(places_in(rest, "index_id", "content", names))
 
 
-@query("date_resolve")
+@query("gazetteer_extract", _GAZETTEER_SQL + " SELECT index_id, kind, name, country FROM extracted")
+def gazetteer_extract(spark: SparkSession, folder: str) -> DataFrame:
+    """Places of each article's title; of its content only where the title names none."""
+    return _extracted_places(spark, folder).select("index_id", "kind", "name", "country").distinct()
+
+
+@query(
+    "location_accuracy",
+    _GAZETTEER_SQL
+    + f""", l AS (SELECT DISTINCT label_id, index_id, {_plain_sql("city")} AS city, {_plain_sql("country")} AS country FROM labels WHERE event_occured = 1),
+         cells AS (SELECT label_id, index_id, 'city' AS field, city AS typed FROM l UNION ALL SELECT label_id, index_id, 'country', country FROM l),
+         said AS (SELECT index_id, kind AS field, name FROM extracted WHERE kind IN ('city', 'country') UNION SELECT index_id, 'country', {_plain_sql("country")} FROM extracted)
+         SELECT field, count(*) AS labels, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM said WHERE said.index_id = cells.index_id AND said.field = cells.field AND said.name = cells.typed)) AS matching FROM cells WHERE typed <> '' AND index_id IN (SELECT index_id FROM articles) GROUP BY field""",
+)
+def location_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Of the labels with a city or country on a stored article, how many name one that was found in its text."""
+    places = _extracted_places(spark, folder)
+    said = places.where(F.col("kind").isin("city", "country")).select("index_id", F.col("kind").alias("field"), "name").unionByName(places.select("index_id", F.lit("country").alias("field"), plain_name(F.col("country")).alias("name"))).distinct().withColumn("found", F.lit(1))
+    labels = read_table(spark, folder, "labels", "label_id", "index_id", "city", "country", "event_occured").where("event_occured = 1").join(read_table(spark, folder, "articles", "index_id").distinct(), "index_id", "left_semi")
+    cells = F.inline(F.array(*[F.struct(F.lit(c).alias("field"), plain_name(F.col(c)).alias("name")) for c in ("city", "country")]))
+    typed = labels.select("label_id", "index_id", "city", "country").distinct().select("index_id", cells).where("name <> ''")
+    return typed.join(said, ["index_id", "field", "name"], "left").groupBy("field").agg(F.count(F.lit(1)).alias("labels"), F.count("found").alias("matching"))
+
+
+_RESOLVE = "list_transform(regexp_extract_all(TEXT, '" + phrases.DATE_PHRASE + "'), lambda s: CASE WHEN lower(s) = 'today' THEN p WHEN lower(s) IN ('yesterday', 'last night') THEN p - 1 WHEN regexp_matches(s, '[0-9]') THEN try_cast(s AS DATE) ELSE p - ((isodow(p) - list_position([" + ", ".join(f"'{d}'" for d in phrases.WEEKDAYS) + "], lower(s)) + 7) % 7)::INT END)"
+_DATE_SQL = f"""
+    WITH a AS (SELECT DISTINCT index_id, title, content, CAST(fetched_at AT TIME ZONE 'UTC' AS DATE) AS p FROM articles),
+         d AS (SELECT DISTINCT index_id, coalesce(list_filter({_RESOLVE.replace("TEXT", "content")}, lambda d: d <= p)[1], list_filter({_RESOLVE.replace("TEXT", "title")}, lambda d: d <= p)[1]) AS event_day FROM a)
+"""
+
+
+@query("date_resolve", _DATE_SQL + " SELECT index_id, event_day FROM d")
 def date_resolve(spark: SparkSession, folder: str) -> DataFrame:
     """The day an article's event fell on, from its date phrases and the day it was fetched."""
     articles = read_table(spark, folder, "articles", "index_id", "title", "content", "fetched_at")
     return articles.select("index_id", phrases.event_day(F.col("content"), F.col("title"), F.to_date("fetched_at")).alias("event_day")).distinct()
 
 
+@query(
+    "date_accuracy",
+    _DATE_SQL + f", l AS (SELECT DISTINCT label_id, index_id, labeller, {_DAY} AS day FROM labels WHERE event_occured = 1) SELECT l.labeller, count(*) AS labels, count(d.event_day) AS resolved, count(*) FILTER (WHERE d.event_day = l.day) AS matching, round(avg((d.event_day IS NOT DISTINCT FROM l.day)::INT), 6) AS accuracy FROM l JOIN d USING (index_id) WHERE l.day IS NOT NULL GROUP BY l.labeller",
+)
+def date_accuracy(spark: SparkSession, folder: str) -> DataFrame:
+    """Per labeller, how often the day found in an article is the day on its label."""
+    labels = _dated_labels(spark, folder).where(F.col("day").isNotNull()).select("label_id", "index_id", "labeller", "day").distinct()
+    hit = F.col("event_day").eqNullSafe(F.col("day")).cast("int")
+    return labels.join(date_resolve(spark, folder), "index_id").groupBy("labeller").agg(F.count(F.lit(1)).alias("labels"), F.count("event_day").alias("resolved"), F.sum(hit).alias("matching"), F.round(F.avg(hit), 6).alias("accuracy"))
+
+
 _LEXICON_SQL = "len(list_filter(regexp_split_to_array(regexp_replace(lower(content), '[^\\p{{L}}\\p{{N}}_]+', ' ', 'g'), ' '), lambda w: w IN ({})))"
 _POS, _NEG = (_LEXICON_SQL.format(", ".join(f"'{w}'" for w in words)) for words in (sentiment.POSITIVE, sentiment.NEGATIVE))
 
@@ -360,16 +613,32 @@ def vader_buckets(spark: SparkSession, folder: str) -> DataFrame:
     return counted.distinct().withColumn("impact", sentiment.impact_class(sentiment.compound(F.col("pos_wrds"), F.col("neg_wrds"))))
 
 
-@query("llm_json_parse", "SELECT CAST(floor((label_id - 1) / 10) AS BIGINT) AS batch, label_id, event_occured, event, impact, dt, loc FROM (SELECT DISTINCT label_id, event_occured, event, impact, dt, loc FROM labels)")
-def llm_json_parse(spark: SparkSession, folder: str) -> DataFrame:
-    """Labels written as fenced JSON arrays of ten, as a model would answer, and read back by position."""
+def _label_answers(spark: SparkSession, folder: str) -> DataFrame:
+    """batch, items, ids, response: labels written as JSON arrays of ten in a code fence, as a model would answer."""
     labels = read_table(spark, folder, "labels", "label_id", "event_occured", "event", "impact", "dt", "loc").distinct().withColumn("batch", F.floor((F.col("label_id") - 1) / 10))
     batches = labels.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("label_id", "event_occured", "event", "impact", "dt", "loc"))).alias("rows"))
-    answers = batches.select("batch", F.size("rows").alias("items"), F.transform("rows", lambda r: r["label_id"]).alias("ids"), F.concat(F.lit("```json\n"), F.to_json(F.transform("rows", lambda r: r.dropFields("label_id"))), F.lit("\n```")).alias("response"))
+    return batches.select("batch", F.size("rows").alias("items"), F.transform("rows", lambda r: r["label_id"]).alias("ids"), F.concat(F.lit("```json\n"), F.to_json(F.transform("rows", lambda r: r.dropFields("label_id"))), F.lit("\n```")).alias("response"))
+
+
+@query("llm_json_parse", "SELECT CAST(floor((label_id - 1) / 10) AS BIGINT) AS batch, label_id, event_occured, event, impact, dt, loc FROM (SELECT DISTINCT label_id, event_occured, event, impact, dt, loc FROM labels)")
+def llm_json_parse(spark: SparkSession, folder: str) -> DataFrame:
+    """Labels read back from the answers, by position."""
+    answers = _label_answers(spark, folder)
     parsed = tx.parse_label_response(answers, "batch", "response", "items")
     return parsed.join(answers.select("batch", "ids"), "batch").select("batch", F.get("ids", F.col("position")).alias("label_id"), "event_occured", "event", "impact", "dt", "loc")
 
 
+@query(
+    "llm_json_failed",
+    "SELECT batch, CASE batch % 5 WHEN 1 THEN 'malformed' WHEN 2 THEN 'wrong_length' ELSE 'missing' END AS failure FROM (SELECT DISTINCT CAST(floor((label_id - 1) / 10) AS BIGINT) AS batch FROM labels) WHERE batch % 5 IN (1, 2, 3)",
+)
+def llm_json_failed(spark: SparkSession, folder: str) -> DataFrame:
+    """Every batch is answered, some cut off, one object too many, or not at all, some in a fence that names no language."""
+    kind = F.col("batch") % 5
+    broken = F.when(kind == 1, F.regexp_replace("response", r"\]\s*```$", "")).when(kind == 2, F.regexp_replace("response", r"\]\s*```$", ",{}]\n```")).when(kind == 4, F.regexp_replace("response", "json", "")).when(kind == 0, F.col("response"))
+    return tx.failed_responses(_label_answers(spark, folder).withColumn("response", broken), "batch", "response", "items")
+
+
 @query(
     "prompt_build",
     "SELECT CAST(floor((index_id - 1) / 10) AS BIGINT) AS batch, count(*) AS items, md5(string_agg('Title: ' || coalesce(title, '') || chr(10) || 'Publish Date: ' || coalesce(date, '') || chr(10) || 'Content: ' || coalesce(content, ''), chr(10) || chr(10) ORDER BY index_id)) AS prompt FROM (SELECT DISTINCT index_id, title, date, content FROM articles) GROUP BY 1",
@@ -442,8 +711,7 @@ def lda_topics(spark: SparkSession, folder: str) -> DataFrame:
 def stream_gap_sessions(spark: SparkSession, folder: str) -> DataFrame:
     """Sessions of the event stream that the watermark has closed, drained into a table and read back."""
     path = f"{folder}/events.parquet"
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.gettempdir()
-    base = f"{base}/stream-{spark.sparkContext.applicationId}-{spark.sparkContext._jvm.java.util.UUID.randomUUID()}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = file_stream(spark, folder, "events.parquet", spark.read.parquet(path).schema).withColumn("ts", F.col("ts").cast("timestamp"))
     drain(gap_sessions(stream, ["user_id", "event_type"], "ts", "3 days", "0 seconds"), f"{base}/out", f"{base}/state")
     return spark.read.parquet(f"{base}/out").select("user_id", "event_type", F.col("started").cast("timestamp_ntz").alias("started"), "n")
