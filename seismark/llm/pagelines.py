@@ -13,6 +13,7 @@ the pages its sentences stand on, and the verdict is carried back to every sente
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -48,23 +49,23 @@ FILLER_WORDS = (
 )
 
 _NAME = r"\p{Lu}[\p{L}\p{N}'’_&;-]*"
-_MASK = rf"(?:{_NAME}|\d+(?:[.,:]\d+)*)(?:\s+{_NAME})*"
+_MASK = rf"(?=[A-Z\d\x80-\uffff])(?:{_NAME}|\d+(?:[.,:]\d+)*)(?:\s+{_NAME})*"
 _SLOT_MASK = rf"(?:{SURE_SLOTS}|{POSSIBLE_SLOTS}|{_NAME}|\d+(?:[.,:]\d+)*)(?:\s+{_NAME})*"
 _LABEL = r"^(?:X[.)]|[^:.]{1,20}:)\s+"
 _REPORT_NOTE = r"(?i)^(?:correction|clarification|corrected|editor'?s note)\b"
 _SENTENCE_END = r"[.!?。！？؟]['\"”’]?$"
-_BETWEEN_SENTENCES = r"(?<=[.!?。！？؟])[\"”’')\]]*\s+"
+_BETWEEN_SENTENCES = r"[.!?。！？؟][\"”’')\]]*\s+"
 _BLANKS = " \t\r\u00a0"
 _BULLET = r"^[-•*–]"
-#: Filler holds at least one of its longer words, in any case; pages without them are not looked at further.
-_FILLER_MARK = rf"\b(?:{'|'.join(w for w in FILLER_WORDS if len(w) > 4)})\b"
+#: Filler holds at least one of these words, in any case; pages without them are not looked at further.
+FILLER_MARKS = ("dolor", *(w for w in FILLER_WORDS if len(w) > 6 or w in ("lorem", "ipsum")))
 _FILLER_WORD = rf"\b(?:{'|'.join(FILLER_WORDS)})\b"
 
 
 def is_filler(text: Column) -> Column:
-    """At least 60 % of the words are filler, a longer one among them."""
+    """At least 60 % of the words of a text are filler."""
     lower = F.lower(text)
-    return lower.rlike(_FILLER_MARK) & (F.regexp_count(lower, F.lit(_FILLER_WORD)) >= 0.6 * F.regexp_count(lower, F.lit("[a-z]+")))
+    return (F.regexp_count(lower, F.lit(_FILLER_WORD)) >= 0.6 * F.regexp_count(lower, F.lit("[a-z]+")))
 
 
 def _words_in(text: Column) -> Column:
@@ -76,45 +77,57 @@ def template_leaf(sentence: Column) -> Column:
     return F.xxhash64(_words_in(sentence), F.substring_index(sentence, " ", 3))
 
 
-def page_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
-    """One row per non-blank line of each page, with its key and its sentences; pages without text give none.
+def page_cells(pages: DataFrame, page: str, host: str, text: str) -> DataFrame:
+    """page, host, report, cells: one row per page, with its non-blank lines; pages without text give none.
 
-    ``units`` holds, of each sentence of the line, the leaf of its template and whether it is filler. ``beside`` is a hash
-    of the page's other sentences, for a line that is a sentence.
+    Of each line there is its key, whether it is a sentence, of each of its sentences the template's leaf and whether it is
+    filler (``units``), and a hash of the page's other sentences (``beside``). ``report`` hashes all of them.
     """
-    content = F.col(text)
-    may_slot = F.lit(False)
+    content = F.col("content")
+    may_slot, may_fill = F.lit(False), F.lit(False)
     for mark in ("{", "[", "<%", "<<", "@@", "__", "XX", "%"):
         may_slot = may_slot | content.contains(mark)
-    base = pages.where(content.isNotNull()).select(F.col(page).alias("page"), F.col(host).alias("host"), F.split(content, "\n").alias("lines"), F.lower(content).rlike(_FILLER_MARK).alias("may_fill"), may_slot.alias("may_slot"))
-
-    def stopped(line: Column) -> Column:
-        return F.substring(line, -2, 2).rlike(_SENTENCE_END) & (_words_in(line) > SENTENCE_WORDS)
-
-    trimmed = F.filter(F.transform("lines", lambda x, i: F.struct(F.trim(x, F.lit(_BLANKS)).alias("line"), i.alias("line_no"))), lambda c: c["line"] != "")
-    base = base.withColumn("cells", trimmed).drop("lines")
+    for mark in FILLER_MARKS:
+        may_fill = may_fill | F.col("lower").contains(mark)
+    base = pages.select(F.col(page).alias("page"), F.col(host).alias("host"), F.col(text).alias("content"), F.lower(text).alias("lower")).where(F.trim(content, F.lit(_BLANKS + "\n")) != "")
+    base = base.select("page", "host", F.split("content", "\n").alias("lines"), may_fill.alias("may_fill"), may_slot.alias("may_slot"))
+
+    def stage(df: DataFrame, *fields: str, **made: Callable[[Column], Column]) -> DataFrame:
+        """The next form of the cells: some fields as they are, others made of them. Each is computed once per line."""
+        return df.withColumn("cells", F.transform("cells", lambda c: F.struct(*[c[f].alias(f) for f in fields], *[make(c).alias(name) for name, make in made.items()])))
+
+    def masked(c: Column) -> Column:
+        return F.when(F.col("may_slot"), F.regexp_replace(c["line"], _SLOT_MASK, "X")).otherwise(F.regexp_replace(c["line"], _MASK, "X"))
+
+    def units(c: Column) -> Column:
+        held = F.filter(c["pieces"], lambda p: _words_in(p) >= SENTENCE_WORDS)
+        return F.when(c["sentence"], F.transform(held, lambda p: F.struct(template_leaf(p).alias("leaf"), (F.col("may_fill") & is_filler(p)).alias("filler"))))
+
+    def slots(c: Column, pattern: str) -> Column:
+        return F.when(F.col("may_slot"), F.regexp_extract_all(c["line"], F.lit(pattern), F.lit(0)))
+
+    inner = lambda c: F.exists(F.slice(c["pieces"], 1, F.size(c["pieces"]) - 1), lambda p: _words_in(p) > SENTENCE_WORDS)
+    cells = F.filter(F.transform("lines", lambda x, i: F.struct(F.trim(x, F.lit(_BLANKS)).alias("line"), i.alias("line_no"))), lambda c: c["line"] != "")
+    base = base.withColumn("cells", cells).drop("lines")
+    base = stage(base, "line", "line_no", masked=masked, words=lambda c: _words_in(c["line"]))
+    base = stage(base, "line", "line_no", "words", shape=lambda c: F.when(c["masked"].rlike(r"\p{Ll}{2}"), c["masked"]).otherwise(F.lower(c["line"])), stopped=lambda c: (c["words"] > SENTENCE_WORDS) & F.right(c["line"], F.lit(2)).rlike(_SENTENCE_END))
+    base = stage(base, "line", "line_no", "words", "shape", "stopped", pieces=lambda c: F.split(c["shape"], _BETWEEN_SENTENCES), code=lambda c: F.when(c["stopped"], F.xxhash64(c["line"])).otherwise(F.lit(0).cast("bigint")))
+    base = stage(base, "line", "line_no", "shape", "code", "pieces", sentence=lambda c: c["stopped"] | inner(c) | (c["words"] >= UNSTOPPED_WORDS))
     # The hash of all sentences together, so that one of them can be taken out again.
-    report = F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: F.when(stopped(c["line"]), a.bitwiseXOR(F.xxhash64(c["line"]))).otherwise(a))
-    base = base.withColumn("report", F.when(report != 0, report).otherwise(F.xxhash64("page")))
-    lines = base.select("page", "host", "may_fill", "may_slot", "report", F.posexplode("cells").alias("at", "cell")).select("*", "cell.*")
-    masked = F.when(F.col("may_slot"), F.regexp_replace("line", _SLOT_MASK, "X")).otherwise(F.regexp_replace("line", _MASK, "X"))
-    lines = lines.withColumn("masked", masked)
-    lines = lines.withColumn("shape", F.when(F.col("masked").rlike(r"\p{Ll}{2}"), F.col("masked")).otherwise(F.lower("line"))).withColumn("stopped", stopped(F.col("line")))
-    lines = lines.withColumn("pieces", F.split("shape", _BETWEEN_SENTENCES))
-    inner = F.exists(F.slice("pieces", 1, F.size("pieces") - 1), lambda p: _words_in(p) > SENTENCE_WORDS)
-    lines = lines.withColumn("sentence", F.col("stopped") | inner | (_words_in(F.col("line")) >= UNSTOPPED_WORDS))
-    held = F.filter("pieces", lambda p: _words_in(p) >= SENTENCE_WORDS)
-    units = F.transform(held, lambda p: F.struct(template_leaf(p).alias("leaf"), (F.col("may_fill") & is_filler(p)).alias("filler")))
-    return lines.select(
-        "page", "host", "line_no", (F.col("at") == 0).alias("opening"), "report", "sentence", F.xxhash64("shape").alias("key"),
-        F.when(F.col("sentence"), F.when(F.col("stopped"), F.col("report").bitwiseXOR(F.xxhash64("line"))).otherwise(F.col("report"))).alias("beside"),
-        F.when(F.col("shape").rlike(_LABEL), F.xxhash64(F.regexp_replace("shape", _LABEL, ""))).alias("rest_key"),
-        F.when(F.col("sentence"), units).alias("units"),
-        F.col("line").rlike(_BULLET).alias("bullet"),
-        F.col("line").rlike(_REPORT_NOTE).alias("note"),
-        F.when(F.col("may_slot"), F.regexp_extract_all("line", F.lit(SURE_SLOTS), F.lit(0))).alias("sure"),
-        F.when(F.col("may_slot"), F.regexp_extract_all("line", F.lit(POSSIBLE_SLOTS), F.lit(0))).alias("possible"),
+    report = F.aggregate("cells", F.lit(0).cast("bigint"), lambda a, c: a.bitwiseXOR(c["code"]))
+    base = base.withColumn("report", report).withColumn("report", F.when(F.col("report") != 0, F.col("report")).otherwise(F.xxhash64("page")))
+    base = stage(
+        base, "line_no", "sentence",
+        key=lambda c: F.xxhash64(c["shape"]),
+        beside=lambda c: F.when(c["sentence"], F.col("report").bitwiseXOR(c["code"])),
+        rest_key=lambda c: F.when(c["shape"].rlike(_LABEL), F.xxhash64(F.regexp_replace(c["shape"], _LABEL, ""))),
+        units=units,
+        bullet=lambda c: c["line"].rlike(_BULLET),
+        note=lambda c: c["line"].rlike(_REPORT_NOTE),
+        sure=lambda c: slots(c, SURE_SLOTS),
+        possible=lambda c: slots(c, POSSIBLE_SLOTS),
     )
+    return base.select("page", "host", "report", "cells")
 
 
 def checked_broadcast(table: DataFrame, bound: int = BROADCAST_VERDICTS) -> DataFrame:
@@ -127,39 +140,45 @@ def _spread(expected: Column | float) -> Column | float:
     return expected + 2 * (F.sqrt(expected) if isinstance(expected, Column) else math.sqrt(expected))
 
 
-def recurring_sentences(lines: DataFrame) -> tuple[DataFrame, int]:
-    """(host, key, recurring) of the sentences that are furniture of a host, and the number of different reports.
+def recurring_sentences(cells: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(host, furniture_keys, report_keys), (pooled_keys) and the number of different reports: sentences that recur.
 
     Lines are counted per key and host before the hosts meet, so one host or line with a third of all rows is a few
     partial counts per task. A sentence recurs as often as different reports stand beside it: copies of one report count
-    once per host, and so do they among the host's pages.
+    once per host, and so do they among the host's pages. The lists are short: what recurs on a share s of the pages can
+    be no more than the lines of a page over s.
     """
-    per_host = lines.where("sentence").groupBy("host", "key").agg(F.count_distinct("beside").alias("n"))
-    hosts = checked_broadcast(cut_lineage(lines.where("opening").groupBy("host").agg(F.count_distinct("report").alias("pages"))))
-    total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    lines = cells.select("host", F.explode("cells").alias("cell")).where("cell.sentence").select("host", "cell.key", "cell.beside")
     # Most sentences stand once in the corpus. They can be none of the hosts' and need not be kept.
-    per_host = cut_lineage(per_host.where(F.col("n") >= 2))
-    pooled = per_host.groupBy("key").agg(F.sum("n").alias("all_n")).where(F.col("all_n") >= max(LEAST, _spread(POOLED_SHARE * total)))
+    per_host = cut_lineage(lines.groupBy("host", "key").agg(F.count_distinct("beside").alias("n")).where(F.col("n") >= 2))
+    hosts = checked_broadcast(cut_lineage(cells.groupBy("host").agg(F.count_distinct("report").alias("pages"))))
+    total = hosts.agg(F.coalesce(F.sum("pages"), F.lit(0))).first()[0]
+    pooled = per_host.groupBy("key").agg(F.sum("n").alias("all_n")).where(F.col("all_n") >= max(LEAST, _spread(POOLED_SHARE * total))).select("key", F.lit(True).alias("pooled"))
     of_host = per_host.join(hosts, per_host["host"].eqNullSafe(hosts["host"])).select(per_host["host"], "key", "n", "pages")
-    by_host = F.when(F.col("n") >= F.greatest(F.lit(LEAST), _spread(HOST_SHARE * F.col("pages"))), True).when(F.col("n") + 2 * F.sqrt("n") < HOST_SHARE_LEAST * F.col("pages"), False)
-    verdicts = of_host.join(checked_broadcast(cut_lineage(pooled)), "key", "left").select("host", "key", F.coalesce(by_host, F.col("all_n").isNotNull()).alias("recurring"))
-    # A sentence seen but once on a host is judged by all hosts.
-    everywhere = pooled.select(F.lit(None).cast("string").alias("host"), "key", F.lit(True).alias("recurring"))
-    return checked_broadcast(cut_lineage(verdicts.where("recurring").unionByName(everywhere))), total
-
-
-def placed_lines(lines: DataFrame, recurring: DataFrame) -> DataFrame:
-    """``lines`` plus recurring (its host's furniture), inside (between sentences of the report) and text: the report's
-    number of sentences."""
-    own = recurring.where("host IS NOT NULL")
-    everywhere = recurring.where("host IS NULL").select("key", F.col("recurring").alias("pooled"))
-    judged = lines.join(own, ["host", "key"], "left").join(everywhere, "key", "left")
-    judged = judged.withColumn("recurring", F.col("sentence") & (F.coalesce("recurring", "pooled", F.lit(False)))).drop("pooled")
-    body = F.when(F.col("sentence") & ~F.col("recurring"), F.col("line_no"))
-    spans = judged.groupBy("page").agg(F.min(body).alias("first"), F.max(body).alias("last"), F.sum(F.when(body.isNotNull(), F.size("units")).otherwise(0)).alias("text"), F.sum(F.col("opening").cast("int")).alias("rows"))
-    spans = spans.select("page", "first", "last", (F.col("text") / F.greatest("rows", F.lit(1))).alias("text"))
+    furniture = F.col("n") >= F.greatest(F.lit(LEAST), _spread(HOST_SHARE * F.col("pages")))
+    report = F.col("n") + 2 * F.sqrt("n") < HOST_SHARE_LEAST * F.col("pages")
+    pooled = checked_broadcast(cut_lineage(pooled))
+    told = of_host.where(furniture).select("host", "key", furniture.alias("furniture")).unionByName(of_host.join(pooled, "key", "left_semi").where(report).select("host", "key", F.lit(False).alias("furniture")))
+    lists = told.groupBy("host").agg(*[F.collect_list(F.when(F.col("furniture") == kind, F.col("key"))).alias(name) for name, kind in (("furniture_keys", True), ("report_keys", False))])
+    return checked_broadcast(cut_lineage(lists)), cut_lineage(pooled.agg(F.collect_list("key").alias("pooled_keys"))), total
+
+
+def placed_lines(cells: DataFrame, of_host: DataFrame, pooled: DataFrame) -> DataFrame:
+    """One row per line: what ``page_cells`` says of it, whether it is a recurring sentence of its host, whether it is
+    inside (between sentences of the report), and text, the report's number of sentences."""
+    known = cells.join(of_host, cells["host"].eqNullSafe(of_host["host"]), "left").select(cells["*"], "furniture_keys", "report_keys").crossJoin(F.broadcast(pooled))
+
+    def recurs(c: Column) -> Column:
+        by_all = F.array_contains("pooled_keys", c["key"]) & ~F.coalesce(F.array_contains("report_keys", c["key"]), F.lit(False))
+        return c["sentence"] & (F.coalesce(F.array_contains("furniture_keys", c["key"]), F.lit(False)) | by_all)
+
+    known = known.withColumn("cells", F.transform("cells", lambda c: c.withField("recurring", recurs(c))))
+    known = known.withColumn("body", F.filter("cells", lambda c: c["sentence"] & ~c["recurring"]))
+    text = F.aggregate("body", F.lit(0), lambda a, c: a + F.size(c["units"]))
+    known = known.select("page", "host", "cells", F.get("body", F.lit(0))["line_no"].alias("first"), F.try_element_at("body", F.lit(-1))["line_no"].alias("last"), text.alias("text"))
+    lines = known.select("page", "host", "first", "last", "text", F.posexplode("cells").alias("at", "cell")).select("page", "host", "first", "last", "text", (F.col("at") == 0).alias("opening"), "cell.*")
     inside = F.coalesce((F.col("line_no") > F.col("first")) & (F.col("line_no") < F.col("last")), F.lit(False))
-    return judged.join(spans, "page", "left").withColumn("inside", inside).drop("first", "last")
+    return lines.withColumn("inside", inside).drop("first", "last", "beside")
 
 
 def recurring_lines(placed: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -197,10 +216,10 @@ def judged_lines(pages: DataFrame, page: str, host: str, text: str) -> DataFrame
     A line is furniture if its key recurs around reports, if it is a label or number before such a line, or if it is a
     title-like line that occurs too seldom to count and stands outside the report. Correction notes belong to a report.
     """
-    # The text is read once: what both the counts and the verdicts need of a line is written down, without the line.
-    lines = written(page_lines(pages, page, host, text))
-    recurring, total = recurring_sentences(lines)
-    placed = written(placed_lines(lines, recurring).drop("report", "beside"))
+    # The text is read once: what both the counts and the verdicts need of a page is written down, without its text.
+    cells = written(page_cells(pages, page, host, text))
+    of_host, pooled, total = recurring_sentences(cells)
+    placed = written(placed_lines(cells, of_host, pooled))
     own, keys = recurring_lines(placed)
     leaves = message_templates(placed, total)
     rest = keys.select(F.col("key").alias("rest_key"), F.col("furniture").alias("rest_furniture"))
