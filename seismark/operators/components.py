@@ -63,15 +63,18 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """
     lean = edges.select(F.least(F.col(a), F.col(b)).cast("bigint").alias("a"), F.greatest(F.col(a), F.col(b)).cast("bigint").alias("b")).where(F.col(a).isNotNull() & F.col(b).isNotNull()).where("a <> b")
     current = cut_lineage(lean.mapInPandas(_local_forest, "a bigint, b bigint").distinct())
+
+    def stars(edges: DataFrame) -> DataFrame:
+        return edges.select(F.col("b").alias("node"), F.col("a").alias("component")).unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+
     if current.count() <= EDGES_OF_ONE_TASK:
-        current = cut_lineage(current.coalesce(1).mapInPandas(_whole_forest, "a bigint, b bigint"))
+        return stars(cut_lineage(current.coalesce(1).mapInPandas(_whole_forest, "a bigint, b bigint")))
     fingerprint = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
     before = fingerprint(current)
     for _ in range(MOST_ROUNDS):
         current = cut_lineage(_small_star(_large_star(current)))
         now = fingerprint(current)
         if now == before:
-            stars = current.select(F.col("b").alias("node"), F.col("a").alias("component"))
-            return stars.unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("component"))).distinct()
+            return stars(current)
         before = now
     raise RuntimeError(f"components did not settle in {MOST_ROUNDS} rounds")

@@ -56,6 +56,12 @@ class ArticleSet:
         kept = self.labels.where(conjunction(conditions))
         return ArticleSet(self.articles.join(kept.select("index_id"), "index_id", "left_semi"), kept)
 
+    def strict(self) -> ArticleSet:
+        """The same set; ValueError if no article is left in it."""
+        if self.articles.isEmpty():
+            raise ValueError("no articles are left after filtering")
+        return self
+
     def article(self, index_id: int) -> DataFrame:
         """One article with its labels."""
         return ArticleSet(self.articles.where(F.col("index_id") == index_id), self.labels.where(F.col("index_id") == index_id)).joined()

@@ -13,7 +13,7 @@ from pyspark.sql.types import DoubleType
 
 from seismark.operators.components import connected_components
 from seismark.operators.pairing import pairs_within
-from seismark.session import cut_lineage, spread
+from seismark.session import cut_lineage, spread, written
 
 EARTH_KM = 6371.0
 #: How often a cell of the grid is cut by eight each way, and the cells that a band of latitude can have at most.
@@ -76,7 +76,7 @@ def linked_cells(placed: DataFrame, neighbours: DataFrame, radius_km: float) ->
         met = cut_lineage(met.where(maybe).select("a_cell", "b_cell", F.col("next_a_square").alias("a_square"), F.col("next_b_square").alias("b_square"), near.alias("near")))
         hits = met.where("near").select("a_cell", "b_cell").distinct()
         linked = linked.unionByName(hits)
-        open_pairs = cut_lineage(met.where("NOT near").drop("near").join(hits, ["a_cell", "b_cell"], "left_anti"))
+        open_pairs = met.where("NOT near").drop("near").join(hits, ["a_cell", "b_cell"], "left_anti")
         if open_pairs.isEmpty():
             return linked
     points = tagged.select("cell", F.col(f"square{SQUARE_LEVELS}").alias("square"), "lat", "lon")
@@ -190,6 +190,8 @@ def unique_events(labels: DataFrame, spatial_radius_km: float = 100.0, temporal_
     timed = temporal_clusters(placed.where(F.col("event").isNotNull()), ["event", "loc_cluster"], "day", temporal_radius_days)
     timed = timed.unionByName(placed.where(F.col("event").isNull()).withColumn("time_cluster", F.lit(-1).cast("bigint")))
     keyed = timed.withColumn("event_id", F.concat_ws("_", F.coalesce("event", F.lit("None")), "loc_cluster", "time_cluster"))
+    if scored:
+        keyed = written(keyed)
     impact = null_if_nan(F.col("impact").cast("double"))
     grouped = keyed.groupBy("event_id").agg(
         F.first("event").alias("event"), F.min("day").alias("dt"), F.max("impact").alias("impact"), F.avg("latitude").alias("latitude"), F.avg("longitude").alias("longitude"),

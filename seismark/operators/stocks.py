@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from seismark.session import broadcast_if_small, cut_lineage
+
+#: Different calendar days that are broadcast at most (nearly three thousand years).
+MOST_DAYS = 1_000_000
+
 
 def price_steps(prices: DataFrame, ahead: tuple[int, ...] = (1, 3, 7)) -> DataFrame:
     """One row per ticker and trading day with the previous day and the closes some rows ahead; repeated days count once."""
@@ -24,7 +29,7 @@ def forward_asof(days: DataFrame, day: str, steps: DataFrame) -> DataFrame:
     covered = steps.where(F.col("previous").isNotNull()).select("*", F.explode(F.sequence(F.date_add("previous", 1), F.col("date"))).alias("day"))
     inside = asked.join(covered, "day")
     first = steps.where(F.col("previous").isNull())
-    before = first.join(F.broadcast(asked), F.col("day") <= F.col("date"))
+    before = first.join(broadcast_if_small(cut_lineage(asked), MOST_DAYS), F.col("day") <= F.col("date"))
     return inside.unionByName(before.select(*inside.columns)).drop("previous")
 
 

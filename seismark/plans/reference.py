@@ -12,7 +12,7 @@ from seismark.functions import text as tx
 from seismark.operators import events as ev
 from seismark.operators import ingest, models, sentiment, stocks
 from seismark.operators.dataset import ArticleSet, distributions, strict_date
-from seismark.operators.gazetteer import ACCENTED, PLAIN, gazetteer, places_in, plain_name
+from seismark.operators.gazetteer import ACCENTED, PLAIN, gazetteer, mostly_capitalised, places_in, plain_name
 from seismark.session import broadcast_if_small, cut_lineage, shared_folder, spread
 from seismark.sources import read_table
 from seismark.streaming.sessions import drain, file_stream, gap_sessions
@@ -290,6 +290,33 @@ def event_return_corr(spark: SparkSession, folder: str) -> DataFrame:
     return table.select("event", *[F.round(f"corr_{k}d", 6).alias(f"corr_{k}d") for k in (1, 3, 7)])
 
 
+@query("event_return_heatmap", f"SELECT * FROM ({ORACLES['event_return_corr']}) WHERE corr_1d IS NOT NULL AND corr_3d IS NOT NULL AND corr_7d IS NOT NULL")
+def event_return_heatmap(spark: SparkSession, folder: str) -> DataFrame:
+    """The correlations that a heat map can show: event types with a value in every column."""
+    return event_return_corr(spark, folder).dropna()
+
+
+@query("date_counts", "SELECT CAST(fetched_at AT TIME ZONE 'UTC' AS DATE) AS day, count(*) AS n FROM articles WHERE fetched_at IS NOT NULL GROUP BY 1 ORDER BY 1")
+def date_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Articles per day they were fetched on, in order of the days."""
+    days = read_table(spark, folder, "articles", "fetched_at").where("fetched_at IS NOT NULL").groupBy(F.to_date("fetched_at").alias("day"))
+    return days.agg(F.count(F.lit(1)).alias("n")).orderBy("day")
+
+
+@query("headline_case", "WITH t AS (SELECT DISTINCT index_id, list_filter(regexp_split_to_array(title, '\\s+'), lambda w: w <> '') AS w FROM articles) SELECT index_id, coalesce(len(list_filter(w, lambda x: regexp_matches(x, '^\\p{Lu}'))) / nullif(len(w), 0) > 0.8, false) AS capitalised FROM t")
+def headline_case(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether over four fifths of a headline's words are capitalised, so that capitals say nothing of names."""
+    return read_table(spark, folder, "articles", "index_id", "title").distinct().select("index_id", mostly_capitalised(F.col("title")).alias("capitalised"))
+
+
+@query("topic_words")
+def topic_words(spark: SparkSession, folder: str) -> DataFrame:
+    """The five likeliest words of each topic with their weights."""
+    titles = read_table(spark, folder, "articles", "index_id", "title").where("title IS NOT NULL").dropDuplicates(["index_id"])
+    model, vectors, _ = models.fitted_topics(titles, "index_id", tx.topic_tokens(F.col("title")))
+    return models.topic_words(model, vectors, 5)
+
+
 def _whole_text():
     return F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.coalesce("content", F.lit("")))
 

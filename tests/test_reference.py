@@ -44,6 +44,11 @@ def test_components_equal_union_find(spark):
     assert connected_components(df.limit(0), "a", "b").count() == 0
 
 
+def test_components_over_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr("seismark.operators.components.EDGES_OF_ONE_TASK", 0)
+    test_components_equal_union_find(spark)
+
+
 def test_spatial_clusters_equal_brute_force(spark):
     rng = random.Random(2)
     points = [(rng.uniform(-90, 90), rng.uniform(-180, 180)) for _ in range(250)] + [(rng.uniform(87, 90), rng.uniform(-180, 180)) for _ in range(40)] + [(rng.uniform(-2, 2), s * rng.uniform(178.5, 180)) for _ in range(30) for s in (-1, 1)]

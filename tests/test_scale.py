@@ -14,7 +14,8 @@ from seismark.operators import events as ev
 from seismark.operators import ingest, models
 from seismark.operators.pairing import pairs_within
 from seismark.session import drop_intermediate, shared_folder, written
-from seismark.sources import files
+from seismark.operators.dataset import ArticleSet
+from seismark.sources import cache, files
 
 
 def test_pairs_of_hot_keys_equal_all_pairs(spark):
@@ -150,3 +151,32 @@ def test_intermediate_tables_are_dropped(spark):
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
     assert written(spark.range(5).toDF("x")).count() == 5
+
+
+def test_stages_are_kept_by_their_parameters(spark, tmp_path):
+    built = []
+
+    def build():
+        built.append(1)
+        return spark.range(3)
+
+    folder = str(tmp_path)
+    assert cache.cached(spark, folder, "stage", {"k": 1, "words": ["a"]}, build).count() == 3
+    assert cache.cached(spark, folder, "stage", {"words": ["a"], "k": 1}, build).count() == 3 and len(built) == 1
+    assert cache.cached(spark, folder, "stage", {"words": ["a"], "k": 2}, build).count() == 3 and len(built) == 2
+
+
+def test_stored_articles_hold_each_url_once(spark, tmp_path):
+    cache.create_tables(spark, "stored", str(tmp_path / "stored"))
+    cache.create_tables(spark, "stored")
+    rows = spark.createDataFrame([(i, u, "t", None, "US", "flood", 0, 1) for i, u in ((1, "a"), (2, "a"), (3, "b"), (4, None))], cache.TABLES["articles"].replace(" BIGINT", " bigint"))
+    assert (cache.append_articles(spark, "stored", rows), cache.append_articles(spark, "stored", rows)) == (2, 0)
+    spark.sql("DROP DATABASE stored CASCADE")
+
+
+def test_strict_sets_are_not_empty(spark):
+    articles = spark.createDataFrame([(1, "flood")], "index_id bigint, query string")
+    both = ArticleSet(articles, spark.createDataFrame([(1, 1)], "index_id bigint, event_occured int"))
+    assert both.where_articles(["flood"]).strict().articles.count() == 1
+    with pytest.raises(ValueError):
+        both.where_articles(["quake"]).strict()
