@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from seismark.session import cut_lineage
+from seismark.session import broadcast_if_small, cut_lineage
 
 #: Newton steps at most, and the relative error of a source's tokens at which it has settled.
 STEPS, SETTLED = 60, 1e-9
@@ -65,11 +65,14 @@ def mix_rates(sized: DataFrame, source: str, tokens: str, targets: DataFrame, ta
             x["low" if gap > 0 else "high"] = x["l"]
             step = x["l"] + gap / (r["curve"] / x["mean"]) if r["curve"] > 0 else math.nan
             x["l"] = step if x["low"] < step < x["high"] else (x["low"] + x["high"]) / 2
-    rate = F.lit(0.0)
-    for s, x in state.items():
-        tilted = F.lit(x["cap"]) if math.isinf(x["l"]) else F.least(F.exp(F.least(F.lit(x["l"] / x["mean"]) * F.col(tokens), F.lit(700.0))), F.lit(x["cap"]))
-        rate = F.when(F.col(source) == s, tilted).otherwise(rate)
-    return sized.withColumn("rate", F.when(F.coalesce(F.col(tokens), F.lit(0)) > 0, rate).otherwise(0.0)), state
+    # One row per target source; there are at most MOST_SOURCES.
+    settled = [(s, None if math.isinf(x["l"]) else x["l"] / x["mean"], x["cap"]) for s, x in state.items()]
+    tilts = sized.sparkSession.createDataFrame(settled, "_source string, _tilt double, _cap double")
+    tilted = F.least(F.exp(F.least(F.col("_tilt") * F.col(tokens), F.lit(700.0))), F.col("_cap"))
+    rate = F.when(F.col("_tilt").isNull(), F.col("_cap")).otherwise(tilted)
+    sized = sized.join(F.broadcast(tilts), F.col(source) == F.col("_source"), "left")
+    rate = F.coalesce(rate, F.lit(0.0))
+    return sized.withColumn("rate", F.when(F.coalesce(F.col(tokens), F.lit(0)) > 0, rate).otherwise(0.0)).drop("_source", "_tilt", "_cap"), state
 
 
 def mix_sources(sized: DataFrame, document: str, source: str, tokens: str, targets: DataFrame, target_source: str = "source", share: str = "target_share", most_repeats: str = "max_repeats", total_tokens: int | None = None) -> DataFrame:
@@ -83,7 +86,7 @@ def mix_sources(sized: DataFrame, document: str, source: str, tokens: str, targe
     rated = cut_lineage(rated.select(F.col(document).alias("document"), F.col(source).alias("source"), F.col(tokens).alias("tokens"), "rate"))
     used = rated.where("rate > 0")
     runs = used.groupBy("source").agg(F.ceil(F.count(F.lit(1)) / ROUNDED_TOGETHER).alias("runs"))
-    dealt = used.join(F.broadcast(runs), "source").withColumn("run", F.pmod(F.xxhash64("document"), F.col("runs")))
+    dealt = used.join(broadcast_if_small(cut_lineage(runs), MOST_SOURCES), "source").withColumn("run", F.pmod(F.xxhash64("document"), F.col("runs")))
     order = Window.partitionBy("source", "run").orderBy("tokens", "document")
     upto = F.sum(F.col("rate") - F.floor("rate")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     fraction = F.col("rate") - F.floor("rate")
