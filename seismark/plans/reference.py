@@ -233,13 +233,14 @@ def _dated_labels(spark: SparkSession, folder: str) -> DataFrame:
           g AS (SELECT DISTINCT event, least, day FROM r WHERE event IS NOT NULL),
           o AS (SELECT *, CASE WHEN date_diff('day', lag(day) OVER w, day) > 3 THEN 1 ELSE 0 END AS starts FROM g WINDOW w AS (PARTITION BY event, least ORDER BY day)),
           t AS (SELECT event, least, day, sum(starts) OVER (PARTITION BY event, least ORDER BY day ROWS UNBOUNDED PRECEDING) AS run FROM o)
-          SELECT r.event, min(r.day) AS dt, max(r.impact) AS impact, count(*) AS n_reports, round(avg(r.latitude), 6) AS latitude, round(avg(r.longitude), 6) AS longitude, date_diff('day', min(r.day), max(r.day))::INT AS span_days
+          SELECT r.event, min(r.day) AS dt, max(r.impact) AS impact, count(*) AS n_reports, round(sum(r.latitude), 5) AS latitudes, round(sum(r.longitude), 5) AS longitudes, date_diff('day', min(r.day), max(r.day))::INT AS span_days
           FROM r LEFT JOIN t ON r.event = t.event AND r.least = t.least AND r.day = t.day GROUP BY r.event, r.least, coalesce(t.run, -1)""",
 )
 def unique_events_facts(spark: SparkSession, folder: str) -> DataFrame:
     """The unique events without their score: what the reports of each agree on."""
     events = ev.unique_events(_dated_labels(spark, folder), scored=False)
-    return events.select("event", "dt", "impact", "n_reports", *[F.round(c, 6).alias(c) for c in ("latitude", "longitude")], "span_days")
+    # Sums of coordinates rather than means: their last digit does not hang on the order of adding.
+    return events.select("event", "dt", "impact", "n_reports", *[F.round(F.col(c) * F.col("n_reports"), 5).alias(f"{c}s") for c in ("latitude", "longitude")], "span_days")
 
 
 @query("unique_events_scored")
