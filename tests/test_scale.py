@@ -180,3 +180,41 @@ def test_strict_sets_are_not_empty(spark):
     assert both.where_articles(["flood"]).strict().articles.count() == 1
     with pytest.raises(ValueError):
         both.where_articles(["quake"]).strict()
+
+
+def test_impact_models_train_on_each_text_and_class_once(spark, tmp_path, monkeypatch):
+    from seismark.plans import reference
+
+    articles, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet") for name in ("articles", "labels"))
+    for name, df, keys in (("articles", articles, ("index_id",)), ("labels", labels, ("index_id", "label_id"))):
+        shifted = df.withColumns({k: F.col(k) + 1_000_000 for k in keys})
+        df.unionByName(shifted).write.parquet(str(tmp_path / f"{name}.parquet"))
+    seen = []
+
+    class Stub:
+        def __init__(self, **given):
+            pass
+
+        def fit(self, df):
+            seen.append((df.count(), df.agg(F.sum("weight")).first()[0]))
+            raise ZeroDivisionError
+
+    monkeypatch.setattr(models, "LogisticRegression", Stub)
+    with pytest.raises(ZeroDivisionError):
+        reference.lr_balanced_articles(spark, str(tmp_path))
+    rows = reference._impact_rows(spark, str(tmp_path)).where("NOT is_test")
+    texts = spark.read.parquet(str(tmp_path / "articles.parquet")).where("content IS NOT NULL").select("index_id", "content").distinct()
+    trained = rows.join(texts, "index_id")
+    assert seen[0][0] == trained.select("content", "impact").distinct().count() < trained.count()
+    assert 0.9 < seen[0][1] / trained.count() < 1.1
+
+
+def test_logistic_on_documents_is_the_one_on_rows(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rng = random.Random(4)
+    vectors = spark.createDataFrame([(d, Vectors.sparse(3, [0, d % 2 + 1], [d % 7 + 1.0, 2.0])) for d in range(20)], ["document", "features"])
+    rows = spark.createDataFrame([(i, i % 20, (i % 20 + rng.randrange(3)) % 3, i % 4 == 0) for i in range(400)], "key int, document long, label int, is_test boolean")
+    got = models.balanced_logistic_on_documents(rows, vectors, "key", "document", "label")
+    want = models.balanced_logistic_on_features(rows.join(vectors, "document"), "key", "features", "label")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
