@@ -12,6 +12,7 @@ from seismark.functions import text as tx
 from seismark.operators import events as ev
 from seismark.operators import ingest, models, sentiment, stocks
 from seismark.operators.dataset import ArticleSet, distributions, strict_date
+from seismark.operators.forest import sparse_forest
 from seismark.operators.gazetteer import ACCENTED, PLAIN, gazetteer, mostly_capitalised, places_in, plain_name
 from seismark.session import broadcast_if_small, cut_lineage, shared_folder, spread, written
 from seismark.sources import read_table
@@ -505,8 +506,7 @@ def _impact_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFr
 
 @query("rf_impact_articles")
 def rf_impact_articles(spark: SparkSession, folder: str) -> DataFrame:
-    rows, vectors = _impact_vectors(spark, folder)
-    return models.forest_on_features(rows.join(vectors, "text_id"), "label_id", "features", "impact")
+    return sparse_forest(*_impact_vectors(spark, folder), "label_id", "text_id", "impact")
 
 
 @query("lr_balanced_articles")
