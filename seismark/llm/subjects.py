@@ -19,7 +19,8 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import BisectingKMeans
-from pyspark.ml.feature import IDF, HashingTF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +30,8 @@ from seismark.session import written
 TERMS, LEAVES, ROUNDS = 1 << 15, 48, 6
 #: Labelled texts are a bounded input: at most so many are read.
 LABELLED_TEXTS = 20_000
+#: Documents whose terms are scored together.
+DOCUMENTS_AT_ONCE = 1_000
 #: First counting pass, by the leaves' weights: a sentence is about a subject from the first score on, by two terms that
 #: weigh STRONG, and about none below the second.
 FIRST, STRONG = (4.0, 3.0), 1.0
@@ -86,6 +89,13 @@ def tokenised(documents: DataFrame, document: str, text: str) -> DataFrame:
     return written(rows.mapInPandas(tokenise, "document bigint, ids array<int>, lengths array<int>").where(F.size("lengths") > 0))
 
 
+def in_parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The same rows, few at a time: every term of a part gets a score for each leaf."""
+    for batch in batches:
+        for start in range(0, len(batch), DOCUMENTS_AT_ONCE):
+            yield batch.iloc[start : start + DOCUMENTS_AT_ONCE]
+
+
 def sentence_scores(batch: pd.DataFrame, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of all sentences of a batch: their terms in one row, the sentence of each term, the scores, the document's place."""
     flat = np.concatenate(batch["ids"].tolist())
@@ -105,12 +115,16 @@ def _log_odds(counts: np.ndarray, sizes: np.ndarray, smooth: float) -> np.ndarra
 
 
 def _bounded_table(rows: DataFrame, classes: int) -> tuple[np.ndarray, np.ndarray]:
-    """(class, term, n) as counts per class and term, and the sizes that stand under term -1: a table of fixed size."""
-    table = rows.groupBy("class", "term").agg(F.sum("n").alias("n")).toPandas()
+    """(class, term, n) as counts per class and term, and the sizes that stand under term -1: a table of fixed size.
+
+    It comes as Arrow columns, 16 bytes a row, whatever the session's settings; rows as objects would take hundreds of MB.
+    """
+    table = rows.groupBy("class", "term").agg(F.sum("n").alias("n")).toArrow()
+    of, term, n = (table[c].to_numpy() for c in ("class", "term", "n"))
     counts, sizes = np.zeros((classes, TERMS)), np.zeros(classes)
-    whole = table["term"] < 0
-    sizes[table.loc[whole, "class"]] = table.loc[whole, "n"]
-    counts[table.loc[~whole, "class"], table.loc[~whole, "term"]] = table.loc[~whole, "n"]
+    whole = term < 0
+    sizes[of[whole]] = n[whole]
+    counts[of[~whole], term[~whole]] = n[~whole]
     return counts, sizes
 
 
@@ -123,12 +137,26 @@ class SubjectModel:
     terms: np.ndarray
 
 
+def _weighing_terms(terms: DataFrame, documents: int) -> tuple[list[str], list[float]]:
+    """The hashed terms of at least two documents, as text, and the logs of their inverse document frequencies.
+
+    Only these have a place in the vectors: every centre that the clustering holds on the driver and sends to all tasks
+    is as long as they are many, and a term of one document would weigh nothing there. There is one place at least.
+    """
+    frequent = terms.select(F.explode(F.array_distinct("ids")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").toArrow()
+    term, n = frequent["term"].to_numpy(), frequent["n"].to_numpy()
+    order = np.argsort(term)
+    return [str(t) for t in term[order]] or ["0"], np.log((documents + 1) / (n[order] + 1)).tolist() or [0.0]
+
+
 def _leaf_terms(terms: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Documents per leaf and hashed term, and per leaf, of a bisecting k-means over all documents."""
-    counted = HashingTF(numFeatures=TERMS, inputCol="words", outputCol="counts").transform(terms.select("ids", F.col("ids").cast("array<string>").alias("words"))).select("ids", "counts")
-    if terms.isEmpty():
+    documents = terms.count()
+    if not documents:
         return np.zeros((1, TERMS)), np.zeros(1)
-    weighed = IDF(inputCol="counts", outputCol="weighed", minDocFreq=2).fit(counted).transform(counted)
+    names, inverse = _weighing_terms(terms, documents)
+    counted = CountVectorizerModel.from_vocabulary(names, inputCol="words", outputCol="counts").transform(terms.select("ids", F.col("ids").cast("array<string>").alias("words"))).select("ids", "counts")
+    weighed = ElementwiseProduct(scalingVec=Vectors.dense(inverse), inputCol="counts", outputCol="weighed").transform(counted)
     vectors = Normalizer(inputCol="weighed", outputCol="features").transform(weighed).select("ids", "features")
     model = BisectingKMeans(k=LEAVES, maxIter=ROUNDS, seed=7, featuresCol="features", predictionCol="class").fit(vectors)
     leaves = model.transform(vectors).select("class", F.explode(F.concat(F.array_distinct("ids"), F.array(F.lit(-1)))).alias("term"), F.lit(1).cast("bigint").alias("n"))
@@ -186,7 +214,7 @@ def fit_subjects(terms: DataFrame, examples: DataFrame, subject: str, example_te
 
         def count_sentences(batches: Iterator[pd.DataFrame], shared=shared, sure=sure, unsure=unsure, strong_from=strong_from) -> Iterator[pd.DataFrame]:
             weights, total, sizes = shared.value, np.zeros((len(names) + 1, TERMS), dtype=np.int64), np.zeros(len(names) + 1, dtype=np.int64)
-            for batch in batches:
+            for batch in in_parts(batches):
                 flat, sentence, scores, _ = sentence_scores(batch, weights)
                 best = scores.argmax(axis=0)
                 top = scores.max(axis=0)
@@ -234,7 +262,7 @@ def document_subjects(terms: DataFrame, names: list[str], model: SubjectModel, l
 
     def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         leaf_terms, mixtures, weights = shared.value
-        for batch in batches:
+        for batch in in_parts(batches):
             _, _, scores, owner = sentence_scores(batch, weights)
             proposed = leaf_mixture_of_documents(batch, leaf_terms, mixtures) >= PROPOSED * least_share
             about = np.zeros((len(batch), len(names)))

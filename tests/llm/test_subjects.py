@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 
+from seismark.llm import subjects
 from seismark.llm.subjects import TERMS as TERMS_HASHED
-from seismark.llm.subjects import SubjectModel, document_subjects, fit_subjects, sentences, tokenised
+from seismark.llm.subjects import SubjectModel, _leaf_terms, document_subjects, fit_subjects, sentences, tokenised
 
 TERMS = {
     "sport": (["The captain", "A striker", "Two substitutes", "The referee", "Our goalkeeper"], ["won", "lost", "postponed", "dominated"], ["the derby", "a penalty", "the marathon", "the second leg", "the semifinal"]),
@@ -72,3 +73,29 @@ def test_documents_without_a_subject_alone(spark):
     terms = tokenised(spark.createDataFrame(docs, "doc bigint, body string"), "doc", "body")
     names, model = fit_subjects(terms, spark.createDataFrame(examples, "s string, t string"), "s", "t")
     assert document_subjects(terms, names, model).count() == 0
+
+
+def test_tables_reach_the_driver_as_columns_and_centres_have_no_empty_places(spark, monkeypatch):
+    rng = random.Random(4)
+    docs = [(i, " ".join(sentence(rng, [TERMS["sport"], TERMS["law"]][i % 2]) for _ in range(4)) + f" Once{i} stood here.") for i in range(60)]
+    terms = tokenised(spark.createDataFrame(docs, "doc bigint, body string"), "doc", "body")
+    lengths = []
+
+    def fit(self, vectors, params=None, fit=subjects.BisectingKMeans.fit):
+        lengths.append(vectors.first()["features"].size)
+        return fit(self, vectors)
+
+    def rows(self):
+        raise AssertionError("rows as objects on the driver")
+
+    monkeypatch.setattr(subjects.BisectingKMeans, "fit", fit)
+    monkeypatch.setattr(type(terms), "toPandas", rows)
+    counts, sizes = _leaf_terms(terms)
+    documents = {}
+    for _, text in docs:
+        for term in set(subjects.text_terms(text, subjects._TermIds())[0]):
+            documents[term] = documents.get(term, 0) + 1
+    assert lengths == [sum(n >= 2 for n in documents.values())] and sizes.sum() == len(docs)
+    assert {t: counts[:, t].sum() for t in np.flatnonzero(counts.sum(axis=0))} == documents
+    alone = tokenised(spark.createDataFrame([(1, "Nothing recurs.")], "doc bigint, body string"), "doc", "body")
+    assert _leaf_terms(alone)[1].sum() == 1
