@@ -218,3 +218,23 @@ def test_logistic_on_documents_is_the_one_on_rows(spark):
     got = models.balanced_logistic_on_documents(rows, vectors, "key", "document", "label")
     want = models.balanced_logistic_on_features(rows.join(vectors, "document"), "key", "features", "label")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_impact_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    from seismark.plans import reference
+
+    plans, write = [], reference.written
+
+    def seen(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df)
+
+    monkeypatch.setattr(reference, "written", seen)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows, vectors = reference._impact_vectors(spark, "/root/testdata/sf0.001")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    initial = plans[0].split("== Initial Plan ==")[-1]
+    assert sum("Exchange hashpartitioning" in line for line in initial.splitlines()) == 2  # the texts and the list of those asked
+    assert vectors.select("text_id").distinct().count() == vectors.count() == rows.select("text_id").distinct().count()
